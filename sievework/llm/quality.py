@@ -35,9 +35,9 @@ class Rule:
 RULES = (
     Rule("word_count", "n_words", 10, 1_000_000),
     Rule("mean_word_length", "word_chars / n_words", 2, 14),
-    Rule("symbol_ratio", "n_symbols / n_words", None, 0.5),
+    Rule("symbol_ratio", "n_symbols / n_words", None, 0.1),
     Rule("stop_word_ratio", "n_stop_words / n_words", 0.005, None),
-    Rule("duplicate_line_ratio", "n_dup_lines / n_lines", None, 0.3),
+    Rule("duplicate_line_ratio", "n_dup_lines / n_lines", None, 0.5),
     Rule("ellipsis_line_ratio", "n_ellipsis_lines / n_lines", None, 0.5),
     Rule("bullet_line_ratio", "n_bullet_lines / n_lines", None, 0.9),
     Rule("alphabetic_word_ratio", "n_alpha_words / n_words", 0.5, None),

@@ -35,7 +35,7 @@ filled as (select *, 3 * source_size as cap, sum(source_size) over () as total,
   coalesce(sum(3 * source_size) over (order by 3.0::double * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as before,
   sum(weight) over (order by 3.0::double * source_size / weight, source nulls last rows between current row and unbounded following) as left_weight from weighed),
 level as (select min(lvl) as lvl from (select ((total - before)::double / left_weight::double) as lvl, cap, weight from filled) where lvl * weight <= cap),
-targets as (select source, source_size, case when cap < lvl * weight then cap::double else lvl * weight end as target from filled, level),
+targets as (select source, source_size, case when cap < fill * weight then cap::double else fill * weight end as target from filled, level),
 rated as (select s.doc_id, s.text, s.size, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0 end as rate
   from sized s join targets t on s.source is not distinct from t.source)
 select doc_id, size, source_size, target, (size * (floor(rate)::bigint + (('0x' || substr(md5('mix-1:' || coalesce(doc_id::varchar, 'text:' || md5(coalesce(text, '')))), 1, 13))::bigint::double / 4503599627370496.0::double < rate - floor(rate))::bigint))::bigint as taken
