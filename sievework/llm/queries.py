@@ -5,11 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievework.llm import mixing, quality
+from sievework.llm import bpe, mixing, ppm, quality
 from sievework.llm.common import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def bpe_digests(encoded: DataFrame, path: str) -> DataFrame:
+    decoded = bpe.decode(encoded, path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    return bpe_digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mixing_plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -21,6 +43,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op6_lm_score": op6_lm_score,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -34,7 +58,7 @@ weighed as (select source, source_size, ((row_number() over (order by source asc
 filled as (select *, 3 * source_size as cap, sum(source_size) over () as total,
   coalesce(sum(3 * source_size) over (order by 3.0::double * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as before,
   sum(weight) over (order by 3.0::double * source_size / weight, source nulls last rows between current row and unbounded following) as left_weight from weighed),
-level as (select min(lvl) as lvl from (select ((total - before)::double / left_weight::double) as lvl, cap, weight from filled) where lvl * weight <= cap),
+level as (select arg_min(lvl, ratio) as fill from (select (total - before)::double / left_weight::double as lvl, 3.0::double * source_size / weight as ratio, cap, weight from filled) where lvl * weight <= cap),
 targets as (select source, source_size, case when cap < fill * weight then cap::double else fill * weight end as target from filled, level),
 rated as (select s.doc_id, s.text, s.size, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0 end as rate
   from sized s join targets t on s.source is not distinct from t.source)
