@@ -11,7 +11,8 @@ from sievework.llm.common import WORD
 
 #: White space that parts words, and the characters that count as symbols.
 SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SPACE = r"[\x20\x09-\x0D]"
+SYMBOL = "[#*$%&|<>]"
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
     "the be to of and that have with a in is it for on was as are by this from at or an not he you "
@@ -40,7 +41,7 @@ RULES = (
     Rule("duplicate_line_ratio", "n_dup_lines / n_lines", None, 0.5),
     Rule("ellipsis_line_ratio", "n_ellipsis_lines / n_lines", None, 0.5),
     Rule("bullet_line_ratio", "n_bullet_lines / n_lines", None, 0.9),
-    Rule("alphabetic_word_ratio", "n_alpha_words / n_words", 0.5, None),
+    Rule("digit_ratio", "n_digits / word_chars", None, 0.5),
 )
 
 
@@ -67,27 +68,32 @@ def _repeat_words() -> Column:
 def measures(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the counts that the rules use; a null text counts as an empty one.
 
-    Windows of five words are first compared by 64-bit hashes; only texts with equal hashes compare the words themselves."""
-    df = df.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines", "n_ellipsis_lines", "n_bullet_lines", "n_alpha_words", "_t", "_w", "_lines", "_grams", "_occ")
+    Words found four in a row twice are looked for by 64-bit hashes; only texts that have some compare windows of five words."""
+    df = df.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines", "n_ellipsis_lines", "n_bullet_lines", "n_digits", "_t", "_w", "_lines", "_pairs", "_fours", "_occ")
     t = F.coalesce(F.col(text), F.lit(""))
-    stop = ", ".join("'" + w + "'" for w in sorted(set(STOP_WORDS)))
-    df = df.withColumns({"_t": t, "_w": F.regexp_extract_all(t, F.lit(f"({WORD})"), F.lit(1)), "_lines": F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)})
+    spaced = t
+    for c in SPACES[1:]:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    forms = sorted({f + end for w in STOP_WORDS for f in (w, w.capitalize()) for end in ("", ".", ",")})
+    df = df.withColumns({"_t": t, "_w": F.array_remove(F.split(spaced, " "), ""), "_lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))})
     df = df.withColumns(
         {
             "n_words": F.size("_w").cast("long"),
-            "_grams": F.expr("case when size(_w) >= 6 then transform(sequence(0, size(_w) - 5), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2], _w[i + 3], _w[i + 4])) end"),
-            "word_chars": F.length(F.translate("_t", SPACES, "")).cast("long"),
-            "n_symbols": (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long"),
+            "_pairs": F.expr("zip_with(_w, slice(_w, 2, size(_w)), (a, b) -> xxhash64(a, b))"),
+            "word_chars": (F.length("_t") - F.regexp_count("_t", F.lit(SPACE))).cast("long"),
+            "n_symbols": F.regexp_count("_t", F.lit(SYMBOL)).cast("long"),
+            "n_digits": F.regexp_count("_t", F.lit("[0-9]")).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_ellipsis_lines": F.size(F.filter("_lines", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))).cast("long"),
             "n_bullet_lines": F.size(F.filter("_lines", lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•"))).cast("long"),
-            "n_stop_words": F.expr(f"size(filter(_w, x -> lower(rtrim('.,;:!?', x)) in ({stop})))").cast("long"),
-            "n_alpha_words": F.expr("size(filter(_w, x -> rlike(x, '\\\\p{L}')))").cast("long"),
+            "n_stop_words": F.size(F.filter("_w", lambda x: x.isin(*forms))).cast("long"),
         }
     )
-    df = df.withColumn("_occ", F.expr("case when size(array_distinct(_grams)) < size(_grams) then array_sort(transform(sequence(0, size(_w) - 5), i -> struct(array_join(slice(_w, i + 1, 5), ' ') as g, i as p))) end"))
-    return df.withColumn("n_repeat_words", _repeat_words()).drop("_t", "_w", "_lines", "_grams", "_occ")
+    # a window of five words found twice holds four words found twice; few texts have those
+    df = df.withColumn("_fours", F.expr("slice(zip_with(_pairs, slice(_pairs, 3, size(_pairs)), (a, b) -> xxhash64(a, b)), 1, greatest(size(_w) - 3, 0))"))
+    df = df.withColumn("_occ", F.expr("case when size(_w) >= 6 and size(array_distinct(_fours)) < size(_fours) then array_sort(transform(sequence(0, size(_w) - 5), i -> struct(array_join(slice(_w, i + 1, 5), ' ') as g, i as p))) end"))
+    return df.withColumn("n_repeat_words", _repeat_words()).drop("_t", "_w", "_lines", "_pairs", "_fours", "_occ")
 
 
 def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

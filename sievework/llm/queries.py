@@ -68,7 +68,8 @@ from rated
 
 
 def _op10_sql() -> str:
-    stop = ", ".join("'" + w + "'" for w in sorted(set(quality.STOP_WORDS)))
+    forms = sorted({f + end for w in quality.STOP_WORDS for f in (w, w.capitalize()) for end in ("", ".", ",")})
+    stop = ", ".join("'" + w + "'" for w in forms)
     broken = " or ".join(quality._sql(r).replace("D)", "::double)").replace("D or", "::double or").replace("D,", "::double,") for r in quality.RULES)
     return rf"""
 with docs as (select row_number() over () as k, doc_id, coalesce(text, '') as t, {_WORDS} as w from documents),
@@ -82,12 +83,12 @@ lines as (select k, len(l)::bigint as n_lines, (len(l) - len(list_distinct(l))):
 counts as (select docs.k, doc_id, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, n_dup_lines, n_lines, n_ellipsis_lines, n_bullet_lines,
   coalesce(covered.n, 0)::bigint as n_repeat_words,
-  len(list_filter(w, lambda x: lower(rtrim(x, '.,;:!?')) in ({stop})))::bigint as n_stop_words,
-  len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}')))::bigint as n_alpha_words
+  len(list_filter(w, lambda x: x in ({stop})))::bigint as n_stop_words,
+  (length(t) - length(regexp_replace(t, '[0-9]', '', 'g')))::bigint as n_digits
   from docs join lines using (k) left join covered using (k))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
-  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and not ({broken.replace("/ n_words", "/ nullif(n_words, 0)").replace("/ n_lines", "/ nullif(n_lines, 0)")}) as kept
+  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and not ({broken.replace("/ n_words", "/ nullif(n_words, 0)").replace("/ n_lines", "/ nullif(n_lines, 0)").replace("/ word_chars", "/ nullif(word_chars, 0)")}) as kept
 from counts
 """
 
