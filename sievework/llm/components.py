@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sievework.llm.common import materialize
@@ -19,13 +19,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = materialize(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")).select(F.col("u").alias("id"), "l"), "labels")
     while True:
         near = edges.join(labels.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("l").alias("m"))
-        seen = labels.join(near, "id").select("id", "l", F.least("l", "m").alias("m"))
-        hooks = seen.where(F.col("m") < F.col("l")).groupBy(F.col("l").alias("id")).agg(F.min("m").alias("h"))
-        hooked = seen.join(hooks, "id", "left").select("id", "l", F.least("m", "h").alias("m"))
+        best = labels.join(near, "id").select("id", "l", F.least("l", "m").alias("m"))
+        hooks = best.where(F.col("m") < F.col("l")).groupBy(F.col("l").alias("id")).agg(F.min("m").alias("h"))
+        hooked = best.join(hooks, "id", "left").select("id", "l", F.least("m", "h").alias("m"))
         jump = hooked.select(F.col("id").alias("m"), F.col("m").alias("j"))
         jumped = hooked.join(jump, "m").select("id", "l", F.least("m", "j").alias("m"))
-        moved = materialize(jumped, "labels")
-        changed = moved.where(F.col("m") < F.col("l")).limit(1).count()
+        seen = Observation()
+        moved = materialize(jumped.observe(seen, F.count(F.when(F.col("m") < F.col("l"), 1)).alias("changed")), "labels")
         labels = moved.select("id", F.col("m").alias("l"))
-        if not changed:
+        if not seen.get["changed"]:
             return labels.withColumnRenamed("l", "component")

@@ -106,7 +106,7 @@ def frequent(docs: DataFrame, join: Join) -> DataFrame:
         n = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
         return pa.table({"bucket": distinct[n >= HOT_LEAST], "n": n[n >= HOT_LEAST]})
 
-    return docs.select("text").mapInArrow(count, "part int, size int, least long, deltas binary, counts binary").groupBy("part").applyInArrow(add, "bucket long, n long")
+    return docs.select("text").mapInArrow(count, "part long, size long, least long, deltas binary, counts binary").groupBy("part").applyInArrow(add, "bucket long, n long")
 
 
 def class_id(own: np.ndarray) -> int:
@@ -242,7 +242,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     groups = classes.groupBy("gkey").agg(F.min("cid").alias("gid"))
     members = materialize(classes.select("cid", "gkey", "n").join(groups, "gkey").select("cid", "gid", "n"), "members")
     heads = classes.join(members.where(F.col("cid") == F.col("gid")).select("cid"), "cid")
-    postings = heads.select(F.explode("tokens").cast("long").alias("token"), F.col("cid").alias("gid"), F.col("n").cast("int").alias("n"))
+    postings = heads.select(F.explode(F.col("tokens").cast("array<bigint>")).alias("token"), F.col("cid").alias("gid"), F.col("n").cast("int").alias("n"))
     lengths = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     lists = materialize(postings.join(lengths, "token"), "lists")
     own = members.join(members.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "gid")
@@ -259,6 +259,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     pairs = materialize(verifier.likely(pairs.unionByName(_led(long_own.where(F.col("token") < 0), MASKS[:LEADERS]))), "pairs")
     verifier.gather(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).unionByName(long_own.select("cid")))
     links = materialize(verifier.links(pairs), "links")
+    if long_own.isEmpty():
+        return components(links)
     before = None
     for turn in range(1, 1 + len(MASKS)):
         labels = components(links)

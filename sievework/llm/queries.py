@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import bpe, mixing, ppm, quality
-from sievework.llm.common import table
+from sievework.llm import bpe, langid, mixing, ngram_join, ppm, quality, toxicity
+from sievework.llm.common import crc_mod, table
 
 
 def tokenizer_path() -> str:
@@ -28,6 +28,21 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"))
+    model = langid.fit(docs.where(~F.col("held_out")).select("text", "lang"))
+    return langid.predict(docs, model, ("doc_id", "held_out"))
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), 3, 90)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.judge(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -44,6 +59,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_langid": op2_langid,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_toxicity": op4_toxicity,
     "op6_lm_score": op6_lm_score,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
