@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import bpe, langid, mixing, ngram_join, ppm, quality, toxicity
+from sievework.llm import bpe, langid, licenses, mixing, ngram_join, ppm, quality, toxicity, urlfilter
 from sievework.llm.common import crc_mod, table
 
 
@@ -43,10 +43,23 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), "license", "license_class")
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+URL_RULES = tuple(map(urlfilter.parse, ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mixing_plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -62,7 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_toxicity": op4_toxicity,
+    "op5_license_scan": op5_license_scan,
     "op6_lm_score": op6_lm_score,
+    "op8_url_filter": op8_url_filter,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -111,4 +126,21 @@ from counts
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op9_mix_sources": OP9_SQL, "op10_quality_rules": _op10_sql()}
+def _op5_sql() -> str:
+    known = ", ".join(f"('{s}', '{i}')" for s, i in licenses.SENTENCES.items())
+    fits = [(n, k, f"contains(line, '{'  '.join(['', *r.split(), ''])[1:-1]}')") for n, k, r in licenses.RULES]
+    cases = lambda at: " ".join(f"when {x[2]} then '{x[at]}'" for x in fits)
+    names = ", ".join(f"case when {fit} then '{n}' end" for n, _, fit in fits)
+    return rf"""
+with known(sentence, id) as (values {known}),
+docs as (select row_number() over () as k, doc_id, coalesce(text, '') as t from documents),
+sentences as (select k, generate_subscripts(p, 1) as i, unnest(p) as s from (select k, string_split(regexp_replace(replace(t, chr(13), chr(10)), '([.!?:])[ 	-]+', '' || chr(10), 'g'), chr(10)) as p from docs)),
+found as (select k, i, id from sentences join known on trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = sentence),
+ids as (select k, count(*)::bigint as n, string_agg(id, ',' order by i) as ids, ' ' || string_agg(id, '  ' order by i) || ' ' as line from found group by k),
+named as (select doc_id, coalesce(n, 0)::bigint as n_sentences, coalesce(ids, '') as sentence_ids, coalesce(line, '') as line from docs left join ids using (k)),
+listed as (select *, list_filter([{names}], lambda x: x is not null) as l from named)
+select doc_id, n_sentences, sentence_ids, coalesce(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ','), '') as licenses, case {cases(0)} end as license, case {cases(1)} end as license_class from listed
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op5_license_scan": _op5_sql(), "op9_mix_sources": OP9_SQL, "op10_quality_rules": _op10_sql()}

@@ -21,8 +21,8 @@ LEAST_TEXTS = 5
 MOST_WORDS = 1 << 16
 #: Grades: 0 clean, 1 toxic, 2 toxic in a text of low quality.
 GRADES = 3
-PENALTY = 1e-3
-STEPS = 300
+PENALTY = 1e-4
+STEPS = 400
 #: A text is rejected if it is more likely toxic than not.
 REJECT = 0.5
 KEEP = 300_000
