@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import bpe, langid, licenses, mixing, ngram_join, ppm, quality, toxicity, urlfilter
+from sievework.llm import bpe, langid, licenses, mixing, ngram_join, ppm, quality, toxicity, urlfilter, vecdedup
 from sievework.llm.common import crc_mod, table
 
 
@@ -52,6 +52,10 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 URL_RULES = tuple(map(urlfilter.parse, ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")))
 
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_license_scan": op5_license_scan,
     "op6_lm_score": op6_lm_score,
+    "op7_vector_dedup": op7_vector_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
@@ -134,7 +139,8 @@ def _op5_sql() -> str:
     return rf"""
 with known(sentence, id) as (values {known}),
 docs as (select row_number() over () as k, doc_id, coalesce(text, '') as t from documents),
-sentences as (select k, generate_subscripts(p, 1) as i, unnest(p) as s from (select k, string_split(regexp_replace(replace(t, chr(13), chr(10)), '([.!?:])[ 	-]+', '' || chr(10), 'g'), chr(10)) as p from docs)),
+sentences as (select k, generate_subscripts(p, 1) as i, unnest(p) as s from (select k, string_split(regexp_replace(replace(t, chr(13), chr(10)), '([.!?:])[ 	-
+]+', '' || chr(10), 'g'), chr(10)) as p from docs)),
 found as (select k, i, id from sentences join known on trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = sentence),
 ids as (select k, count(*)::bigint as n, string_agg(id, ',' order by i) as ids, ' ' || string_agg(id, '  ' order by i) || ' ' as line from found group by k),
 named as (select doc_id, coalesce(n, 0)::bigint as n_sentences, coalesce(ids, '') as sentence_ids, coalesce(line, '') as line from docs left join ids using (k)),
