@@ -5,6 +5,7 @@ a broadcast of bounded size, all other words through a shuffle join. Decoding jo
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 from sievework.llm.common import materialize, row_key, slices, threshold_for
 
 #: Most words that are broadcast; the rest are joined by a shuffle.
-HEAD_WORDS = 1 << 19
+HEAD_WORDS = 1 << 18
 #: Most distinct words or chunks that a Python worker keeps at once.
-KEEP = 300_000
+KEEP = 200_000
 #: Punctuation that a tokenizer parts from a letter or digit before it.
 TRAILING = b".,;:!?#$%&*"
 #: Marks the start of a special token, which is found before case is folded.
@@ -75,6 +76,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _encoded(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -82,7 +84,7 @@ def _encoded(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         tokenizer.no_padding()
         for batch in batches:
             texts = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
-            ids = [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+            ids = [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             yield pa.record_batch({"word": batch.column("word"), "n": batch.column("n"), "ids": pa.array(ids, pa.binary())})
 
     return run
@@ -124,10 +126,15 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = head.value.table()
+        cache: dict[bytes, tuple[bytes, ...]] = {}
         for batch in batches:
             keys, out = [], []
             for key, t in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
-                unknown = {w for c in set(t.split()) for w in words(c) if w not in known}
+                chunks = set(t.split())
+                if len(cache) > KEEP:
+                    cache.clear()
+                cache.update((c, tuple(w for w in words(c) if w not in known)) for c in chunks.difference(cache))
+                unknown = set(chain.from_iterable(map(cache.__getitem__, chunks)))
                 keys += [key] * len(unknown)
                 out += unknown
                 if len(out) > KEEP:

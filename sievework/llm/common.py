@@ -16,7 +16,13 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 COUNT_STEPS = 4096
 
 
+#: Rows that go to Python at once, unless the session says otherwise: texts are long, and two copies of a batch are held.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -21,11 +21,11 @@ from sievework.llm.common import crc_mod, materialize, slices, threshold_for
 #: Bytes of context; with the symbol they must fit a 64-bit number.
 ORDER = 5
 #: Most nodes of the trie; beyond it, nodes seen least go first, from all orders alike.
-MOST_NODES = 3_000_000
+MOST_NODES = 2_000_000
 #: Most words whose counts are broadcast; counts of the others are joined by a shuffle.
-HEAD_WORDS = 1 << 19
+HEAD_WORDS = 1 << 18
 #: Distinct words, or millions of bytes of counts, that a Python worker holds before it passes them on.
-KEEP = 300_000
+KEEP = 200_000
 #: No word holds it: it ends a text, both as a token and as a symbol, and pads the first contexts.
 END = b"\n"
 
@@ -108,7 +108,7 @@ class Model:
             contexts, first = np.unique(grams >> np.uint64(8), return_index=True)
             total = np.add.reduceat(counts, first) if len(grams) else np.zeros(0, np.int64)
             kinds = np.diff(np.append(first, len(grams)))
-            level = {"grams": grams, "contexts": contexts, "count": np.log10(counts), "total": total, "kinds": kinds, "n": counts}
+            level = {"grams": grams, "contexts": contexts, "count": np.log10(counts).astype(np.float32), "total": total, "kinds": kinds, "n": counts}
             level["direct"] = (level["count"] - np.repeat(np.log10(total + kinds), kinds)).astype(np.float32)
             level["escape"] = np.log10(kinds / (total + kinds))
             if depth and len(grams):
