@@ -8,7 +8,6 @@ from __future__ import annotations
 import os
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.common import materialize, row_key, slices, threshold_for
+from sievework.llm.shingles import hashed, parts, spans
 
 #: Most words that are broadcast; the rest are joined by a shuffle.
 HEAD_WORDS = 1 << 18
 #: Most distinct words or chunks that a Python worker keeps at once.
 KEEP = 200_000
+#: Bytes of text that a Python worker looks at together.
+PART = 2 << 20
 #: Punctuation that a tokenizer parts from a letter or digit before it.
 TRAILING = b".,;:!?#$%&*"
 #: Marks the start of a special token, which is found before case is folded.
@@ -66,8 +68,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch({"word": pa.array(out.keys(), pa.binary()), "n": pa.array(out.values(), pa.int64())})
 
     for batch in batches:
-        for text in _texts(batch.column(0)):
-            found.update(text.split())
+        for _, _, data, starts in parts(batch.column(0), PART):
+            chunks = _Chunks(data, starts)
+            for chunk, n in zip(chunks.distinct(range(len(chunks.first))), np.bincount(chunks.inverse, minlength=len(chunks.first)).tolist(), strict=True):
+                found[chunk] += n
             if len(found) > KEEP:
                 yield flush()
     if found:
@@ -96,6 +100,21 @@ def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return materialize(counted.mapInArrow(_encoded(path), "word binary, n long, ids binary"), "words")
 
 
+class _Chunks:
+    """The runs without white space of some texts: where they are, and which are equal by a 64-bit hash."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray):
+        self.data = data.tobytes()
+        self.begin, self.end = spans(data, starts)
+        self.at = np.searchsorted(self.begin, starts)
+        self.keys, self.first, self.inverse = np.unique(hashed(data, self.begin, self.end, False), return_index=True, return_inverse=True)
+
+    def distinct(self, which) -> Iterator[bytes]:
+        """The bytes of distinct runs by number."""
+        first = self.first[np.asarray(which, np.int64)]
+        return (self.data[a:b] for a, b in zip(self.begin[first].tolist(), self.end[first].tolist(), strict=True))
+
+
 class _Head:
     """The broadcast words, unpacked once in each Python process."""
 
@@ -126,21 +145,26 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = head.value.table()
-        cache: dict[bytes, tuple[bytes, ...]] = {}
+        plain = np.zeros(0, np.uint64)  # hashes of chunks of which all words are known
         for batch in batches:
-            keys, out = [], []
-            for key, t in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
-                chunks = set(t.split())
-                if len(cache) > KEEP:
-                    cache.clear()
-                cache.update((c, tuple(w for w in words(c) if w not in known)) for c in chunks.difference(cache))
-                unknown = set(chain.from_iterable(map(cache.__getitem__, chunks)))
-                keys += [key] * len(unknown)
-                out += unknown
-                if len(out) > KEEP:
-                    yield pa.record_batch({"_key": pa.array(keys, pa.int64()), "word": pa.array(out, pa.binary())})
-                    keys, out = [], []
-            yield pa.record_batch({"_key": pa.array(keys, pa.int64()), "word": pa.array(out, pa.binary())})
+            for a, b, data, starts in parts(batch.column(1), PART):
+                chunks = _Chunks(data, starts)
+                at = np.minimum(np.searchsorted(plain, chunks.keys), max(len(plain) - 1, 0))
+                new = np.flatnonzero(plain[at] != chunks.keys) if len(plain) else np.arange(len(chunks.keys))
+                unknown: dict[int, list[bytes]] = {}
+                for i, chunk in zip(new.tolist(), chunks.distinct(new), strict=True):
+                    own = [w for w in words(chunk) if w not in known]
+                    if own:
+                        unknown[i] = own
+                fine = np.setdiff1d(new, np.fromiter(unknown, np.int64, len(unknown)), assume_unique=True)
+                plain = np.sort(np.concatenate([plain if len(plain) < 2 * KEEP else plain[:0], chunks.keys[fine]]))
+                marked = np.zeros(len(chunks.keys), bool)
+                marked[list(unknown)] = True
+                where = np.flatnonzero(marked[chunks.inverse])
+                pairs = np.unique(np.column_stack([np.searchsorted(chunks.at, where, "right") - 1, chunks.inverse[where]]), axis=0) if len(where) else np.zeros((0, 2), np.int64)
+                ids = batch.column(0).slice(a, b - a).to_pylist()
+                out = [(ids[row], w) for row, i in pairs.tolist() for w in unknown[i]]
+                yield pa.record_batch({"_key": pa.array([k for k, _ in out], pa.int64()), "word": pa.array([w for _, w in out], pa.binary())})
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 3)
@@ -150,30 +174,26 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, codec = head.value.table(), pa.Codec("zstd")
-        cache: dict[bytes, list[int]] = {}
-
-        def resolve(chunk: bytes, own: dict[bytes, bytes]) -> list[int]:
-            return [i for w in words(chunk) for i in np.frombuffer(known.get(w) or own[w], "<u4").tolist()]
-
+        cache: dict[int, bytes] = {}
         for batch in batches:
-            n, flat, counts, first = batch.num_rows, [], [], 0
-            zips, sizes = batch.column("_zip"), batch.column("_size")
-            rares = batch.column("_rare")
-            for row in range(n):
-                chunks = codec.decompress(zips[row].as_buffer(), sizes[row].as_py(), asbytes=True).split() if sizes[row].as_py() else []
-                if new := set(chunks).difference(cache):
-                    own = {x["word"]: x["ids"] for x in rares[row].as_py() or ()}
+            texts = pa.array([codec.decompress(z.as_buffer(), n, asbytes=True) if n else b"" for z, n in zip(batch.column("_zip"), batch.column("_size").to_pylist(), strict=True)], pa.large_binary())
+            for a, b, data, starts in parts(texts, PART):
+                chunks = _Chunks(data, starts)
+                keys = chunks.keys.tolist()
+                got = list(map(cache.get, keys))
+                new = [i for i, x in enumerate(got) if x is None]
+                if new:
+                    own = {x["word"]: x["ids"] for row in batch.column("_rare").slice(a, b - a).to_pylist() for x in row or ()}
                     if len(cache) > KEEP:
                         cache.clear()
-                        new = set(chunks)
-                    cache.update((c, resolve(c, own)) for c in new)
-                before = len(flat)
-                flat.extend(chain.from_iterable(map(cache.__getitem__, chunks)))
-                counts.append(len(flat) - before)
-                if len(flat) > 1_000_000 or row == n - 1:
-                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(np.array(flat, np.int32)))
-                    yield pa.record_batch([*(batch.column(f"_{i}").slice(first, row + 1 - first) for i in range(len(keep))), ids], names=[*(f"_{i}" for i in range(len(keep))), "ids"])
-                    flat, counts, first = [], [], row + 1
+                    for i, chunk in zip(new, chunks.distinct(new), strict=True):
+                        got[i] = cache[keys[i]] = b"".join([known.get(w) or own[w] for w in words(chunk)])
+                sizes = np.array(list(map(len, got)), np.int64) // 4
+                by_chunk = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64()), pa.array(np.frombuffer(b"".join(got), "<i4")))
+                flat = by_chunk.take(pa.array(chunks.inverse)).flatten()
+                ends = np.concatenate([[0], np.cumsum(sizes[chunks.inverse])])[chunks.at]
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)
+                yield pa.record_batch([*(batch.column(f"_{i}").slice(a, b - a) for i in range(len(keep))), ids], names=[*(f"_{i}" for i in range(len(keep))), "ids"])
 
     names = [f"_{i}" for i in range(len(keep))]
     types = dict(docs.dtypes)

@@ -19,7 +19,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _BASE)[_LOWER]
+_EXACT = _mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
+_FOLDED = _EXACT[_LOWER]
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -31,13 +32,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (A-Z lower-cased) in bytes that hold texts side by side, and where each text's words begin.
-
-    starts has the texts' offsets in data, the last one its end."""
+def spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in bytes that hold texts side by side; starts has the texts' offsets, the last one the end."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = ~_SPACE[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -46,24 +45,34 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     edges = edges[(edges > 0) & (edges < n)]
     first[edges] |= inside[edges]
     last[edges - 1] |= inside[edges - 1]
-    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _power(n + 1)
-    summed = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * up[:n])])
-    hashes = _mix((summed[end] - summed[begin]) * down[begin] + (end - begin).astype(np.uint64))
-    return hashes, np.searchsorted(begin, starts)
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def shingle_sets(column, k: int):
-    """For each text of an Arrow string column, in order: its sorted distinct k-word shingles as 64-bit numbers.
+def hashed(data: np.ndarray, begin: np.ndarray, end: np.ndarray, fold: bool) -> np.ndarray:
+    """64-bit hashes of the words, with A-Z lower-cased if fold."""
+    up, down = _power(len(data) + 1)
+    summed = np.concatenate([[np.uint64(0)], np.cumsum((_FOLDED if fold else _EXACT)[data] * up[: len(data)])])
+    return _mix((summed[end] - summed[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
-    A text of fewer words is one shingle, without words it has none; null counts as empty."""
+
+def parts(column, most_bytes: int = 1 << 20):
+    """Slices (first row, row after the last, bytes, offsets of their texts) of an Arrow string column; null counts as empty."""
     import pyarrow as pa
 
     column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
-    for a, b in slices(offsets, 1 << 20):
-        hashes, at = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+    for a, b in slices(offsets, most_bytes):
+        yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+
+
+def shingle_sets(column, k: int):
+    """For each text of an Arrow string column, in order: its sorted distinct k-word shingles as 64-bit numbers.
+
+    A text of fewer words is one shingle, without words it has none; null counts as empty."""
+    for _, _, data, starts in parts(column):
+        begin, end = spans(data, starts)
+        hashes, at = hashed(data, begin, end, True), np.searchsorted(begin, starts)
         n = max(0, len(hashes) - k + 1)
         grams = np.full(n, np.uint64(k))
         for i in range(k):
