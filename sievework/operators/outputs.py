@@ -133,6 +133,10 @@ class PolicyViolation:
         return StageColumns(F.when(blocked, "BLOCK").otherwise(_when_any(noted, "FLAGGED")), F.when(blocked, F.lit(R.SAFE_ERROR)).otherwise(text), found, weight)
 
 
+def _flag_of(stage: str):
+    return lambda x: F.struct(F.lit(stage).alias("stage"), x.alias("flag"))
+
+
 #: From mildest to worst.
 DECISIONS = ("PASS", "PASS_REDACTED", "FLAGGED", "BLOCK")
 
@@ -163,7 +167,7 @@ class Pipeline:
                     "_text": F.when(on, F.col(f"_t{i}")).otherwise(F.col("_text")),
                     "_worst": F.when(on, F.greatest("_worst", rank[F.col(f"_d{i}")])).otherwise(F.col("_worst")),
                     "_risk": F.when(on, F.col("_risk") + F.col(f"_w{i}")).otherwise(F.col("_risk")),
-                    "_flags": F.when(on, F.concat("_flags", F.transform(f"_f{i}", lambda x, s=stage.name: F.struct(F.lit(s).alias("stage"), x.alias("flag"))))).otherwise(F.col("_flags")),
+                    "_flags": F.when(on, F.concat("_flags", F.transform(f"_f{i}", _flag_of(stage.name)))).otherwise(F.col("_flags")),
                     "_run": F.when(on, F.concat("_run", F.array(F.struct(F.lit(stage.name).alias("stage"), F.col(f"_d{i}").alias("decision"), F.col(f"_w{i}").alias("weight"))))).otherwise(F.col("_run")),
                     "_by": F.when(on & (F.col(f"_d{i}") == "BLOCK"), F.lit(stage.name)).otherwise(F.col("_by")),
                 }

@@ -23,6 +23,10 @@ def payloads(t: Column) -> Column:
     held = F.filter(decoded, lambda x: F.coalesce(x.rlike("|".join(R.RAG_KEYWORDS)), F.lit(False)))
     return F.array_distinct(F.transform(held, lambda x: F.substring(x, 1, 80)))
 
+def _match_of(check: str, severity: str):
+    return lambda x: F.struct(F.lit(check).alias("check_id"), F.lit(severity).alias("severity"), x.alias("matched"))
+
+
 def detect_poisoning(df: DataFrame, text: str = "text", threshold: int = 0, enabled: tuple[str, ...] | None = None) -> DataFrame:
     """df with matches (check_id, severity, matched), risk_score and is_poisoned.
 
@@ -36,7 +40,7 @@ def detect_poisoning(df: DataFrame, text: str = "text", threshold: int = 0, enab
     checks[c] = (sev, w, payloads(t))
     checks = {k: checks[k] for k in sorted(checks) if enabled is None or k in enabled}
     df = df.withColumns({f"_{k}": v[2] for k, v in checks.items()})
-    rows = [F.transform(F.col(f"`_{k}`"), lambda x, k=k, s=v[0]: F.struct(F.lit(k).alias("check_id"), F.lit(s).alias("severity"), x.alias("matched"))) for k, v in checks.items()]
+    rows = [F.transform(F.col(f"`_{k}`"), _match_of(k, v[0])) for k, v in checks.items()]
     matches = F.flatten(F.array(*rows)) if rows else F.array().cast("array<struct<check_id:string,severity:string,matched:string>>")
     score = points((F.size(F.col(f"`_{k}`")) > 0, v[1]) for k, v in checks.items())
     df = df.withColumns({"matches": matches, "risk_score": score})
