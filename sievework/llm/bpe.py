@@ -21,9 +21,9 @@ from sievework.llm.shingles import hashed, parts, spans
 #: Most words that are broadcast; the rest are joined by a shuffle.
 HEAD_WORDS = 1 << 18
 #: Most distinct words or chunks that a Python worker keeps at once.
-KEEP = 200_000
+KEEP = 150_000
 #: Bytes of text that a Python worker looks at together.
-PART = 2 << 20
+PART = 1 << 20
 #: Punctuation that a tokenizer parts from a letter or digit before it.
 TRAILING = b".,;:!?#$%&*"
 #: Marks the start of a special token, which is found before case is folded.
@@ -132,15 +132,17 @@ class _Head:
         return self.ids
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), head_words: int = HEAD_WORDS) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), head_words: int = HEAD_WORDS, decoded: bool = False) -> DataFrame:
     """The columns keep of docs and ids array<int>, as the tokenizer file at path encodes the whole text without adding special tokens.
 
+    With decoded there is also a column of that name, which `decode` would give: one Python process does both.
     path must lead to the file on every executor. Null and empty texts have no ids. Any length of text is encoded whole.
     Rows stand by themselves: repeated rows and repeated or null ids give a row each. Other columns of docs are ignored."""
     spark = docs.sparkSession
     docs = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), row_key("doc_id", text).alias("_key") if "doc_id" in docs.columns else F.xxhash64(text).alias("_key"), F.col(text).alias("_text"))
     table = word_table(docs, path, "_text")
     least = threshold_for(table, "n", head_words)
+    vocabulary = spark.sparkContext.broadcast(pieces(path)) if decoded else None
     head = spark.sparkContext.broadcast(_Head(table.where(F.col("n") >= least).select("word", "ids").toArrow()))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +177,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, codec = head.value.table(), pa.Codec("zstd")
         cache: dict[int, bytes] = {}
+        table_of = pa.array(vocabulary.value, pa.large_string()) if decoded else None
         for batch in batches:
             texts = pa.array([codec.decompress(z.as_buffer(), n, asbytes=True) if n else b"" for z, n in zip(batch.column("_zip"), batch.column("_size").to_pylist(), strict=True)], pa.large_binary())
             for a, b, data, starts in parts(texts, PART):
@@ -193,7 +196,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
                 flat = by_chunk.take(pa.array(chunks.inverse)).flatten()
                 ends = np.concatenate([[0], np.cumsum(sizes[chunks.inverse])])[chunks.at]
                 ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)
-                yield pa.record_batch([*(batch.column(f"_{i}").slice(a, b - a) for i in range(len(keep))), ids], names=[*(f"_{i}" for i in range(len(keep))), "ids"])
+                more = [_decoded(ids, table_of)] if decoded else []
+                yield pa.record_batch([*(batch.column(f"_{i}").slice(a, b - a) for i in range(len(keep))), ids, *more], names=[*(f"_{i}" for i in range(len(keep))), "ids", *["decoded"] * decoded])
 
     names = [f"_{i}" for i in range(len(keep))]
     types = dict(docs.dtypes)
@@ -202,7 +206,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     rest = tail.join(table.where(F.col("n") < least).select("word", "ids"), "word")
     by_key = rest.groupBy("_key").agg(F.collect_list(F.struct("word", "ids")).alias("_rare"))
     zipped = docs.select(*names, "_key", "_text").mapInArrow(packed, ", ".join([own, "_key long, _zip binary, _size int"]).lstrip(", "))
-    out = zipped.join(by_key, "_key", "left").select(*names, "_zip", "_size", "_rare").mapInArrow(joined, ", ".join([own, "ids array<int>"]).lstrip(", "))
+    out = zipped.join(by_key, "_key", "left").select(*names, "_zip", "_size", "_rare").mapInArrow(joined, ", ".join([own, "ids array<int>", *["decoded string"] * decoded]).lstrip(", "))
     return out.withColumnsRenamed(dict(zip(names, keep, strict=True)))
 
 
@@ -217,6 +221,14 @@ def pieces(path: str) -> list[str]:
     return out
 
 
+def _decoded(own: pa.Array, table: pa.Array) -> pa.Array:
+    """Lists of ids joined with the vocabulary: their pieces, parted by a space."""
+    starts = own.offsets.to_numpy().astype(np.int64)
+    taken = table.take(own.values.slice(starts[0], starts[-1] - starts[0]))
+    made = pa.LargeListArray.from_arrays(pa.array(starts - starts[0], pa.int64()), taken)
+    return pc.if_else(own.is_valid(), pc.binary_join(made, pa.scalar(" ", pa.large_string())), pa.scalar(None, pa.large_string())).cast(pa.string())
+
+
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """encoded with the column out: the pieces of the ids, parted by a space, as a tokenizer without a decoder joins them.
 
@@ -232,11 +244,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
             lists = batch.column(at)
             for a, b in slices(lists.offsets.to_numpy(), 1_000_000):
                 part = batch.slice(a, b - a)
-                own = part.column(at)
-                starts = own.offsets.to_numpy().astype(np.int64)
-                taken = table.take(own.values.slice(starts[0], starts[-1] - starts[0]))
-                made = pa.LargeListArray.from_arrays(pa.array(starts - starts[0], pa.int64()), taken)
-                text = pc.if_else(own.is_valid(), pc.binary_join(made, pa.scalar(" ", pa.large_string())), pa.scalar(None, pa.large_string()))
-                yield pa.record_batch([*part.columns, text.cast(pa.string())], names=[*part.schema.names, out])
+                text = _decoded(part.column(at), table)
+                yield pa.record_batch([*part.columns, text], names=[*part.schema.names, out])
 
     return encoded.mapInArrow(run, schema)

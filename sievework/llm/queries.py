@@ -17,15 +17,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def bpe_digests(encoded: DataFrame, path: str) -> DataFrame:
-    decoded = bpe.decode(encoded, path)
+def bpe_digests(decoded: DataFrame) -> DataFrame:
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    return bpe_digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return bpe_digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), decoded=True))
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
