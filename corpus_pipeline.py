@@ -36,8 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document's ids and decoded text."""
-    path = tokenizer_path()
-    return bpe_digests(bpe.encode(docs, path), path)
+    return bpe_digests(bpe.encode(docs, tokenizer_path(), decoded=True))
 
 
 STAGES = [
