@@ -2,19 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sievework.llm.common import materialize
 
 
+#: Vertices whose links a task holds together before it passes their forest on.
+KEEP = 500_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join what the given ones join: each vertex with the smallest one that the task has seen it linked with."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def rows() -> pa.RecordBatch:
+        own = [(x, root(x)) for x in parent]
+        own = [(x, r) for x, r in own if x != r]
+        return pa.record_batch([pa.array([x for x, _ in own], pa.int64()), pa.array([r for _, r in own], pa.int64())], names=["u", "v"])
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(x), root(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        if len(parent) > KEEP:
+            yield rows()
+            parent.clear()
+    if parent:
+        yield rows()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): for every id in links the smallest id reachable from it.
 
-    Each round gives a vertex the smallest label among its own and its neighbours', lets its old label's vertex take the
+    Each task first thins out the links that it reads. Each round then gives a vertex the smallest label among its own and its neighbours', lets its old label's vertex take the
     smaller one too, and jumps along labels, so long chains halve. Rounds end when no label changes; only that count
     reaches the driver. Null ends, loops and repeated links change nothing."""
     pairs = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
+    pairs = pairs.mapInArrow(_forest, "u long, v long")
     edges = materialize(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = materialize(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")).select(F.col("u").alias("id"), "l"), "labels")
     while True:

@@ -26,7 +26,7 @@ HOT_LEAST = 16
 HOT_MOST = 1 << 20
 #: Lists up to this length are paired in full; longer ones go through leaders first.
 SHORT_LIST = 8
-LEADERS = 4
+LEADERS = 8
 #: Bins of the counting filter.
 BINS = 64
 #: Bits that say which documents' sets are needed.
@@ -283,8 +283,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
             fits = (F.least(F.col("x.n"), F.col("y.n")) * q >= F.greatest(F.col("x.n"), F.col("y.n")) * p) & (F.col("x.component") != F.col("y.component"))
             pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
         else:
-            masks = tuple(m ^ (turn * 0x1234567) for m in MASKS[turn:] + MASKS[:turn])[: 2 * LEADERS]
-            pairs = _led(open_.select("token", "cid"), masks[:LEADERS]).unionByName(_led_few(few, open_, masks[LEADERS:])).distinct()
+            masks = tuple(m ^ (turn * 0x1234567) for m in MASKS)
+            pairs = _led(open_.select("token", "cid"), masks).unionByName(_led_few(few, open_, masks)).distinct()
             pairs = pairs.join(comp.select(F.col("cid").alias("a"), F.col("component").alias("ca")), "a").join(comp.select(F.col("cid").alias("b"), F.col("component").alias("cb")), "b").where(F.col("ca") != F.col("cb")).select("a", "b")
         links = materialize(links.unionByName(verifier.links(materialize(verifier.likely(pairs), "pairs"))).distinct(), "links")
         if last:
