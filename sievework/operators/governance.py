@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievework.functions.regex import Rx
 from sievework.operators.common import present
 from sievework.sources.policy import Policy, action
 
@@ -46,6 +47,14 @@ def denied_phrases(df: DataFrame, phrases: tuple[str, ...], text: str = "text")
     return df.withColumn("blocked", F.size("denied") > 0)
 
 
+def denied_patterns(df: DataFrame, patterns: tuple[Rx, ...], text: str = "text") -> DataFrame:
+    """df with n_denied, how many of the patterns the text matches, and blocked."""
+    t, n = F.coalesce(F.col(text), F.lit("")), F.lit(0)
+    for p in patterns:
+        n = n + p.found(t).cast("int")
+    return df.withColumn("n_denied", n).withColumn("blocked", F.col("n_denied") > 0)
+
+
 def guard_size(df: DataFrame, most: int = 1_048_576, body: str = "body", length: str = "content_length") -> DataFrame:
     """df with status (413 or 200) and reason_code: the stated length counts, or without a number the body's own."""
     stated = F.expr(f"try_cast(`{length}` as bigint)")

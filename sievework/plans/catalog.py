@@ -735,3 +735,52 @@ def guarded(df: DataFrame, prompt: str, answer: str) -> DataFrame:
     reasons = F.when(F.col("input_blocked"), F.col("_why")).when(failed, F.array(F.lit("call_failed"))).otherwise(F.col("risk_flags"))
     return after.withColumns({"output": F.when(blocked, F.lit(R.SAFE_ERROR)).otherwise(F.col("filtered_output")), "reasons": reasons}).drop("_why", "decision", "risk_score", "risk_flags", "filtered_output", "reason")
 
+
+
+# --- denylists, events and names ---
+
+
+@query("denied_prompts", f"{DOCS} select doc_id, ({' + '.join(f'({p.sql(chr(116))})::int' for p in R.DENIED_PROMPTS)})::int as n_denied from d")
+def denied_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.denied_patterns(documents(spark, sf_dir), R.DENIED_PROMPTS, "t").select("doc_id", "n_denied")
+
+
+@query("restricted_terms", f"{DOCS} select doc_id, {_names_sql([(f'contains(lower(t), {quoted(x.lower())})', x) for x in R.RESTRICTED_TERMS])} as denied from d")
+def restricted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.denied_phrases(documents(spark, sf_dir), R.RESTRICTED_TERMS, "t").select("doc_id", F.array_join("denied", ",").alias("denied"))
+
+
+@query("blocked_phrases", f"{DOCS} select doc_id, {' or '.join(f'contains(lower(t), {quoted(x)})' for x in R.BLOCKED_PHRASES)} as blocked from d")
+def blocked_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.denied_phrases(documents(spark, sf_dir), R.BLOCKED_PHRASES, "t").select("doc_id", "blocked")
+
+
+@query("audit_event_counts", f"{_validate_sql()} select decision, count(*) as n from w group by 1")
+def audit_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = governance.audit_events(inputs.validate_input(documents(spark, sf_dir), "t"), "input", POLICY, text="t")
+    return events.select(F.get_json_object("event", "$.decision").alias("decision")).groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+NAME = "case event_id % 5 when 0 then ' web_search ' when 1 then '{\"name\": \"calculator\"}' when 2 then '{\"tool\": \"shell\"}' when 3 then '{\"function\": {\"name\": \"read_document\"}}' else '' end"
+NAME_SQL = "case event_id % 5 when 0 then 'web_search' when 1 then 'calculator' when 2 then 'shell' when 3 then 'read_document' end"
+
+
+@query("tool_names", f"select coalesce({NAME_SQL}, '') as tool_name, coalesce({NAME_SQL} in {R.PERMITTED_TOOLS}, false) as permitted, count(*) as n from events group by all")
+def tool_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = agents.tool_names(table(spark, sf_dir, "events").select(F.expr(NAME).alias("call")))
+    permitted = F.coalesce(F.col("tool_name").isin(*R.PERMITTED_TOOLS), F.lit(False))
+    return df.groupBy(F.coalesce("tool_name", F.lit("")).alias("tool_name"), permitted.alias("permitted")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("audit_chain_alternate", f"{CHAIN_SQL.replace('sha256(canonical || repeat', 'sha256(repeat').replace("('0', 64)) as event_hash", "('0', 64) || ':' || canonical) as event_hash").replace('sha256(e.canonical || h.event_hash)', "sha256(h.event_hash || ':' || e.canonical)")} select log_id, line_no, prev_hash, event_hash from h")
+def audit_chain_alternate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.chain(_lines(spark, sf_dir), separator=":").select("log_id", "line_no", "prev_hash", "event_hash")
+
+
+PAD = "case conv_id % 3 when 0 then 'note aW1wb3J0IG9zOyBvcy5zeXN0ZW0oJ2xzIC1sYScpOyBldmFsKHgp end' when 1 then 'note VGhlIHdlYXRoZXIgaXMgZmluZSB0b2RheSBpbiBQYXJpcw== end' else '' end"
+
+
+@query("memory_payloads", "select conv_id, conv_id % 3 = 0 as flagged from conversations group by 1")
+def memory_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snaps = sessions.memory_snapshots(table(spark, sf_dir, "conversations")).withColumn("scratchpad", F.expr(PAD))
+    return sessions.inspect_memory(snaps, enabled=("MEM-006",)).select("conv_id", F.col("is_flagged").alias("flagged"))
