@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The model learns from about so many texts of each language, drawn by a hash of the text, whatever the corpus holds.
-TRAIN_TEXTS = 3000
+TRAIN_TEXTS = 1000
 #: A word seen less often in training counts as unseen; its n-grams are learned all the same.
 LEAST_COUNT = 2
 LONGEST_GRAM = 5
 SMOOTHING = 0.5
 #: Most distinct runs whose scores a Python worker keeps.
-KEEP = 300_000
+KEEP = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -30,43 +30,47 @@ def _grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
+    """Rows of log frequencies by language; words and n-grams know theirs by number."""
+
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]
+    words: dict[str, int]
+    grams: dict[str, int]
+    table: np.ndarray
 
     @classmethod
     def fit(cls, counts: dict[tuple[str, str], int]) -> Model:
         """From counts of (lang, word)."""
         langs = sorted({lang for lang, _ in counts})
-        words: dict[str, np.ndarray] = {}
-        grams: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST_GRAM + 1)]
+        words = {lang: Counter() for lang in langs}
+        grams = {lang: [Counter() for _ in range(LONGEST_GRAM + 1)] for lang in langs}
         for (lang, word), n in counts.items():
-            at = langs.index(lang)
-            words.setdefault(word, np.zeros(len(langs)))[at] += n
+            words[lang][word] += n
             for size in range(1, LONGEST_GRAM + 1):
-                own = grams[size]
+                own = grams[lang][size]
                 for g in _grams(word, size):
-                    if g not in own:
-                        own[g] = np.zeros(len(langs))
-                    own[g][at] += n
+                    own[g] += n
 
-        def logs(table: dict[str, np.ndarray], least: int) -> dict[str, np.ndarray]:
-            if not table:
-                return {}
-            total = sum(table.values()) + SMOOTHING * len(table)
-            return {k: np.log((v + SMOOTHING) / total) for k, v in table.items() if v.sum() >= least}
+        def logs(own: list[Counter], least: int) -> tuple[list[str], np.ndarray]:
+            keys = sorted(set().union(*own))
+            table = np.array([[c[k] for k in keys] for c in own], np.float64).T.reshape(len(keys), len(own))
+            fine = table.sum(1) >= least
+            rows = np.log((table + SMOOTHING) / (table.sum(0) + SMOOTHING * max(1, len(keys))))
+            return [k for k, f in zip(keys, fine, strict=True) if f], rows[fine].astype(np.float32)
 
-        return cls(langs, logs(words, LEAST_COUNT), [logs(t, 1) for t in grams])
+        parts = [logs([words[lang] for lang in langs], LEAST_COUNT), *(logs([grams[lang][size] for lang in langs], 1) for size in range(1, LONGEST_GRAM + 1))]
+        known, first = parts[0][0], len(parts[0][0])
+        # n-grams of different sizes are different keys
+        return cls(langs, {w: i for i, w in enumerate(known)}, {g: first + i for i, g in enumerate(g for keys, _ in parts[1:] for g in keys)}, np.concatenate([t for _, t in parts]))
 
     def word(self, word: str) -> np.ndarray:
         """Log scores of one word: its own, or those of its longest n-grams of which one is known."""
         own = self.words.get(word)
         if own is not None:
-            return own
+            return self.table[own].astype(np.float64)
         for size in range(LONGEST_GRAM, 0, -1):
-            known = [g for g in map(self.grams[size].get, _grams(word, size)) if g is not None]
+            known = [g for g in map(self.grams.get, _grams(word, size)) if g is not None]
             if known:
-                return sum(known) / size
+                return self.table[known].sum(0, dtype=np.float64) / size
         return np.zeros(len(self.langs))
 
     def run(self, chunk: bytes) -> np.ndarray:
@@ -84,7 +88,7 @@ def fit(labelled: DataFrame, train_texts: int = TRAIN_TEXTS) -> Model:
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return Model([], {}, [{} for _ in range(LONGEST_GRAM + 1)])
+        return Model([], {}, {}, np.zeros((0, 0), np.float32))
     share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1.0, train_texts / n))) for lang, n in sizes.items()))
     drawn = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
 
