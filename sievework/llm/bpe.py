@@ -19,7 +19,7 @@ from sievework.llm.common import materialize, row_key, slices, threshold_for
 from sievework.llm.shingles import hashed, parts, spans
 
 #: Most words that are broadcast; the rest are joined by a shuffle.
-HEAD_WORDS = 1 << 18
+HEAD_WORDS = 1 << 20
 #: Most distinct words or chunks that a Python worker keeps at once.
 KEEP = 150_000
 #: Bytes of text that a Python worker looks at together.
