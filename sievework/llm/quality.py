@@ -106,3 +106,13 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
     broken = ", ".join(f"case when {_sql(r)} then '{r.name}' end" for r in rules)
     df = df.withColumn("broken_rules", F.expr(f"array_compact(array({broken}))" if rules else "cast(array() as array<string>)"))
     return df.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
+
+
+def keep(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of df that `judge` keeps, with df's own columns.
+
+    The row number, which is never negative, stops the optimizer from moving the filter below the measures, where it would
+    work them out again for every element of the arrays that they are made of."""
+    judged = judge(df.select("*", *[F.col(c).alias(f"_own_{c}") for c in df.columns]), text, rules).withColumn("_row", F.monotonically_increasing_id())
+    kept = judged.where(F.col("kept") & (F.col("_row") >= 0))
+    return kept.select(*(F.col(f"_own_{c}").alias(c) for c in df.columns))
