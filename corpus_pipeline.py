@@ -7,7 +7,6 @@ every copy that the mix holds."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sievework.llm import bpe, mixing, ngram_join, quality, toxicity
 from sievework.llm.common import materialize, table
@@ -21,7 +20,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs that break no rule of the threshold table."""
-    return quality.judge(docs).where(F.col("kept")).select(*docs.columns)
+    return quality.keep(docs)
 
 
 def reject_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
