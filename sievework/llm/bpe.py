@@ -190,7 +190,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
                     if len(cache) > KEEP:
                         cache.clear()
                     for i, chunk in zip(new, chunks.distinct(new), strict=True):
-                        got[i] = cache[keys[i]] = b"".join([known.get(w) or own[w] for w in words(chunk)])
+                        # words of odd white space alone have no ids, which is not the same as being unknown
+                        got[i] = cache[keys[i]] = b"".join([own[w] if (ids_of := known.get(w)) is None else ids_of for w in words(chunk)])
                 sizes = np.array(list(map(len, got)), np.int64) // 4
                 by_chunk = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64()), pa.array(np.frombuffer(b"".join(got), "<i4")))
                 flat = by_chunk.take(pa.array(chunks.inverse)).flatten()
