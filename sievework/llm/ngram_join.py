@@ -119,7 +119,7 @@ def _bins(own: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, join: Join) -> DataFrame:
-    """(doc_id, cid, n, gkey, bins, tokens): the class, size, group, bins and prefix of each text's set; cid is null without shingles."""
+    """(doc_id, mark, cid, n, gkey, bins, tokens): a hash of the text, and the class, size, group, bins and prefix of each text's set; cid is null without shingles."""
     hot = frequent(docs, join)
     hot = materialize(hot, "hot")
     found = hot.where(F.col("n") >= max(HOT_LEAST, threshold_for(hot, "n", HOT_MOST))).toArrow()
@@ -131,10 +131,10 @@ def signatures(docs: DataFrame, join: Join) -> DataFrame:
         for batch in batches:
             ids, texts = _columns(batch)
             rows: list[tuple] = []
-            for doc_id, own in zip(ids, shingle_sets(texts, join.k), strict=True):
+            for doc_id, mark, own in zip(ids, batch.column("mark").to_pylist(), shingle_sets(texts, join.k), strict=True):
                 n = len(own)
                 if not n:
-                    rows.append((doc_id, None, 0, None, None, None))
+                    rows.append((doc_id, mark, None, 0, None, None, None))
                     continue
                 keys = (own >> np.uint64(32)).astype(np.uint32)
                 held = np.zeros(n, np.int32)
@@ -143,10 +143,10 @@ def signatures(docs: DataFrame, join: Join) -> DataFrame:
                     held = np.where(buckets[at] == keys, counts[at], 0)
                 prefix = own[np.argsort(held, kind="stable")[: join.prefix(n)]]
                 group = hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=8).digest()
-                rows.append((doc_id, class_id(own), n, int.from_bytes(group, "little", signed=True), _bins(own), (prefix & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())), strict=True)], names=["doc_id", "cid", "n", "gkey", "bins", "tokens"])
+                rows.append((doc_id, mark, class_id(own), n, int.from_bytes(group, "little", signed=True), _bins(own), (prefix & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())), strict=True)], names=["doc_id", "mark", "cid", "n", "gkey", "bins", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, cid long, n long, gkey long, bins binary, tokens array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id long, mark long, cid long, n long, gkey long, bins binary, tokens array<int>")
 
 
 class _Verifier:
@@ -180,7 +180,7 @@ class _Verifier:
         """Computes the sets of the classes once more from their texts; a bitmap of bounded size says which are needed."""
         spark = self.docs.sparkSession
         bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP)) + 1
-        need = cids.select("cid").distinct().join(self.classes.select("cid", "least_doc"), "cid")
+        need = cids.select("cid").distinct().join(self.classes.select("cid", F.col("least.doc_id").alias("least_doc")), "cid")
         marks = need.select(bit(F.col("least_doc")).alias("h"))
         rows = marks.groupBy(F.expr("bitmap_bucket_number(h)").alias("at")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits")).collect()
         bitmap = np.zeros(BITMAP + (1 << 16), bool)
@@ -237,7 +237,7 @@ def _led(lists: DataFrame, masks: tuple[int, ...], of: str = "cid") -> DataFrame
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
-    """(id, component) of all classes (cid, n, gkey, bins, tokens, least_doc) that link with another."""
+    """(id, component) of all classes (cid, n, gkey, bins, tokens, least) that link with another."""
     p, q = join.p, join.q
     groups = classes.groupBy("gkey").agg(F.min("cid").alias("gid"))
     members = materialize(classes.select("cid", "gkey", "n").join(groups, "gkey").select("cid", "gid", "n"), "members")
@@ -306,25 +306,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     and blank texts have none and link with nothing. component_id is the smallest doc_id reachable by links, the own one
     included; null ids take part in links but name a component only if it has no other. Repeated rows give a row each.
     Classes are known by 64-bit hashes of their sets, shingles by 64-bit hashes of their words."""
-    join = Join(k, percent)
+    signed, named = _components(docs, Join(k, percent))
+    out = signed.select("doc_id", "cid", "n").join(named.select("cid", F.col("least.doc_id").alias("component_id")), "cid", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _components(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
+    """The signatures of docs, and of each class (cid) the least row of its component: no_id, doc_id and mark, a hash of the text."""
     docs = docs.select("doc_id", "text")
     signed = materialize(signatures(docs, join), "signatures")
     # equal cids have equal values in all other columns, so any of them will do
-    classes = signed.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("least_doc"), F.min("n").alias("n"), F.min("gkey").alias("gkey"), F.min("bins").alias("bins"), F.min("tokens").alias("tokens"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("least")
+    classes = signed.where(F.col("cid").isNotNull()).groupBy("cid").agg(least, F.min("n").alias("n"), F.min("gkey").alias("gkey"), F.min("bins").alias("bins"), F.min("tokens").alias("tokens"))
     classes = materialize(classes, "classes")
     labels = link_classes(docs, classes, join)
-    placed = classes.select("cid", "least_doc").join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    named = placed.groupBy("component").agg(F.min("least_doc").alias("component_id"))
-    named = materialize(placed.join(named, "component").select("cid", "component_id"), "named")
-    out = signed.select("doc_id", "cid", "n").join(named, "cid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    placed = classes.select("cid", "least").join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    named = placed.groupBy("component").agg(F.min("least").alias("least"))
+    return signed, materialize(placed.select("cid", "component").join(named, "component").select("cid", "least"), "named")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without near duplicates: of each component one row, that of its smallest doc_id, stays.
-
-    Texts without shingles link with nothing and stay, as do rows without a doc_id whose component has no other. Rows that
-    repeat a doc_id stay or go together."""
-    found = near_duplicates(docs, k, percent)
-    gone = found.where((F.col("doc_id") != F.col("component_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNotNull())).select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """docs without near duplicates: of each component one row stays, that of its smallest doc_id.
+
+    Null ids come last, and among rows of one id the text with the smaller hash comes first; of rows equal in both, any one
+    stays. Texts without shingles link with nothing and stay."""
+    signed, named = _components(docs, Join(k, percent))
+    keys = signed.where(F.col("cid").isNotNull()).select("doc_id", "mark", "cid").join(named, "cid")
+    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("mark") == F.col("least.mark"))
+    gone = keys.where(~first).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    again = keys.where(first).groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("_id", "_mark")
+    again = materialize(again, "again")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark"))
+    left = docs.join(gone, same, "left_anti")
+    if again.isEmpty():
+        return left
+    once = left.join(again, same).groupBy("_id", "_mark").agg(F.first(F.struct(*(F.col(c) for c in docs.columns))).alias("row")).select("row.*")
+    return left.join(again, same, "left_anti").unionByName(once)

@@ -1,6 +1,8 @@
 """Rows and texts that the operators once left out or cut short."""
 
-from sievework.llm import bpe, queries
+from collections import Counter
+
+from sievework.llm import bpe, ngram_join, queries
 
 
 def test_bpe_of_odd_white_space_alone(spark):
@@ -13,3 +15,21 @@ def test_bpe_of_odd_white_space_alone(spark):
     want = {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
     for head in (1 << 18, 1, 0):
         assert {r["doc_id"]: r["ids"] for r in bpe.encode(rows, path, head_words=head, decoded=True).collect()} == want
+
+
+def test_keep_one_decides_by_row(spark):
+    words = lambda s, n=40: " ".join(f"{s}{i}" for i in range(n))
+    near = words("a") + " end"
+    rows = [
+        (1, words("a"), "x"), (None, near, "x"),  # linked: the row with an id stays
+        (None, words("b"), "x"), (None, words("c"), "x"),  # null ids, each alone
+        (2, words("d"), "x"), (3, words("d") + " end", "x"), (3, words("e"), "x"),  # of the two texts of 3 only one links
+        (None, words("f"), "x"), (None, words("f"), "y"), (None, words("f") + " end", "x"),  # null ids alone keep one
+        (4, words("g"), "x"), (4, words("g"), "y"),  # equal rows keep one
+        (5, None, "x"), (5, "", "x"), (None, None, "x"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = ngram_join.keep_one(df)
+    assert out.columns == df.columns
+    got = [(r["doc_id"], (r["text"] or "")[:1]) for r in out.collect()]
+    assert Counter(got) == Counter([(1, "a"), (None, "b"), (None, "c"), (2, "d"), (3, "e"), (None, "f"), (4, "g"), (5, ""), (5, ""), (None, "")])
