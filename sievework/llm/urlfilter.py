@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from sievework.llm.common import materialize
 
 DAMPING = 0.85
-MOST_ROUNDS = 20
-#: Rounds end when ranks move by less than this in all.
+#: Rounds end when all ranks together move by less than this, and no host's rank by more than this share of itself.
 TOLERANCE = 1e-6
 #: A host is blocked if distrust / (trust + distrust) exceeds this; a host that neither reaches is allowed.
 BLOCK_SHARE = 0.5
@@ -67,11 +66,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select(F.col("host").alias("src"), to.alias("dst")).where(F.col("dst") != "").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def standing(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, most_rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def standing(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) from edges (src, dst, n) and seeds (host, good, bad).
 
     good and bad are shared out to sum to 1 each and are where walks restart, also from hosts without links. A sum of 0
-    leaves that rank at 0. Rounds end with the largest one or when ranks rest; a round sends three numbers to the driver."""
+    leaves that rank at 0. Verdicts compare a host's two ranks, however small, so rounds end when every rank rests in proportion to
+    itself: a host far from all seeds counts as reached, too. A round shrinks what is left by damping; it sends four numbers
+    to the driver."""
     total = seeds.agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).first()
     share = lambda c, t: F.coalesce(F.col(c) / F.lit(float(t or 0) or 1.0), F.lit(0.0))
     hosts = edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).unionByName(seeds.select("host")).distinct()
@@ -80,7 +81,7 @@ def standing(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, most_
     ins = edges.groupBy("dst").agg(F.sum("n").alias("in"))
     weighed = materialize(edges.join(outs, "src").join(ins, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("forth"), (F.col("n") / F.col("in")).alias("back")), "edges")
     ranks = start.select("host", F.col("g").alias("trust"), F.col("b").alias("distrust"))
-    for _ in range(most_rounds):
+    while True:
         forth = weighed.join(ranks, weighed["src"] == ranks["host"]).select(F.col("dst").alias("host"), (F.col("forth") * F.col("trust")).alias("t"), F.lit(0.0).alias("d"))
         back = weighed.join(ranks, weighed["dst"] == ranks["host"]).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("back") * F.col("distrust")).alias("d"))
         flow = forth.unionByName(back).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
@@ -94,8 +95,10 @@ def standing(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, most_
         trust = (1 - damping) * F.col("g") + damping * (F.col("t") + lost_t * F.col("g"))
         distrust = (1 - damping) * F.col("b") + damping * (F.col("d") + lost_d * F.col("b"))
         ranks = moved.select("host", trust.alias("trust"), distrust.alias("distrust"))
-        change = moved.agg(F.sum(F.abs(trust - F.col("trust")) + F.abs(distrust - F.col("distrust"))).alias("x")).first()["x"]
-        if (change or 0.0) < tolerance:
+        steps = F.abs(trust - F.col("trust")), F.abs(distrust - F.col("distrust"))
+        shares = (F.when(step > 0, step / F.greatest(new, F.col(was))).otherwise(0.0) for step, new, was in zip(steps, (trust, distrust), ("trust", "distrust"), strict=True))
+        change = moved.agg(F.sum(steps[0] + steps[1]).alias("all"), F.max(F.greatest(*shares)).alias("share")).first()
+        if max(change["all"] or 0.0, change["share"] or 0.0) < tolerance:
             break
     return ranks
 
@@ -111,6 +114,6 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...], share: float = BLOCK_SHARE)
     ruled = materialize(parsed.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled")), "pages")
     seeds = ruled.where((F.col("host") != "") & F.col("rule").isNotNull()).groupBy("host").agg(F.count(F.when(F.col("ruled") == "allow", 1)).alias("good"), F.count(F.when(F.col("ruled") == "block", 1)).alias("bad"))
     ranks = standing(materialize(host_edges(parsed.select("host", "html")), "links"), materialize(seeds, "seeds"))
-    bad = F.col("distrust") > share * (F.col("trust") + F.col("distrust")) + 1e-12
+    bad = F.col("distrust") > share * (F.col("trust") + F.col("distrust")) * (1 + 1e-9)
     out = ruled.join(ranks, "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")

@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from sievework.llm import bpe, ngram_join, queries
+from sievework.llm import bpe, ngram_join, queries, urlfilter
 
 
 def test_bpe_of_odd_white_space_alone(spark):
@@ -33,3 +33,14 @@ def test_keep_one_decides_by_row(spark):
     assert out.columns == df.columns
     got = [(r["doc_id"], (r["text"] or "")[:1]) for r in out.collect()]
     assert Counter(got) == Counter([(1, "a"), (None, "b"), (None, "c"), (2, "d"), (3, "e"), (None, "f"), (4, "g"), (5, ""), (5, ""), (None, "")])
+
+
+def test_urls_far_from_all_seeds(spark):
+    # distrust runs against links: the last host of each chain links to a blocked page
+    rows = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">') for i in range(30)] + [(30, "http://h30.net/", '<a href="http://bad.example.org/es/1">'), (31, "http://bad.example.org/es/1", "")]
+    rows += [(32, "http://good.org/", '<a href="http://g0.net/">')] + [(33 + i, f"http://g{i}.net/", f'<a href="http://g{i + 1}.net/">') for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["verdict"], r["trust"], r["distrust"]) for r in urlfilter.judge(df, queries.URL_RULES).collect()}
+    assert all(got[i][0] == "block" and got[i][2] > 0 for i in range(32)) and all(got[i][0] == "allow" for i in range(32, 36))
+    # each link hands on 0.85 of the rank before it
+    assert all(abs(got[i][2] / got[i + 1][2] - 0.85) < 1e-5 for i in range(30))
