@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from sievework.llm import bpe, ngram_join, queries, urlfilter
+from sievework.llm import bpe, licenses, ngram_join, queries, urlfilter
 
 
 def test_bpe_of_odd_white_space_alone(spark):
@@ -44,3 +44,63 @@ def test_urls_far_from_all_seeds(spark):
     assert all(got[i][0] == "block" and got[i][2] > 0 for i in range(32)) and all(got[i][0] == "allow" for i in range(32, 36))
     # each link hands on 0.85 of the rank before it
     assert all(abs(got[i][2] / got[i + 1][2] - 0.85) < 1e-5 for i in range(30))
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not
+use this file except in compliance with the License. You may obtain a copy of
+the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+
+
+def test_licenses_over_lines(spark):
+    comment = lambda mark, t: "".join(f"{mark} {x}".rstrip() + "\n" for x in t.splitlines())
+    flat = lambda t: " ".join(t.split())
+    known = {
+        MIT: "mit", comment("#", MIT): "mit", flat(MIT.partition("One")[2]): "mit", comment(" *", MIT.partition("One")[2]): "mit", "The MIT License (MIT)\n\nCopyright": "mit",
+        GPL3: "gpl-3.0", comment("//", GPL3): "gpl-3.0", GPL3.replace(" General", " Affero General"): "agpl-3.0", GPL3.replace("GNU ", "GNU Lesser ").replace("program", "library").replace("version 3", "version 2.1"): "lgpl-2.1",
+        "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n": "gpl-3.0", "GNU GENERAL PUBLIC LICENSE\r\nVersion 2, June 1991\r\n": "gpl-2.0", "Apache License\n   Version 2.0, January 2004": "apache-2.0",
+        BSD: "bsd", comment("--", BSD): "bsd", flat(BSD): "bsd", ISC: "isc", flat(ISC): "isc", APACHE: "apache-2.0", comment("#", APACHE): "apache-2.0", flat(APACHE.partition("at\n")[0]): "apache-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy": "mpl-2.0", "This is free and\nunencumbered software released into the public domain.": "unlicense",
+        **{f"{mark}SPDX-License-Identifier: {x}{end}\nint x;": name for mark, end in (("// ", ""), ("# ", ""), ("/* ", " */"), ("<!-- ", " -->")) for x, name in (("MIT", "mit"), ("Apache-2.0", "apache-2.0"), ("BSD-2-Clause", "bsd"), ("BSD-3-Clause", "bsd"), ("GPL-2.0-only", "gpl-2.0"), ("GPL-3.0-or-later", "gpl-3.0"), ("LGPL-2.1+", "lgpl-2.1"), ("CC-BY-SA-4.0", "cc-by-sa-4.0"), ("ISC", "isc"))},
+        "A text about the MIT License and permission to use it.": None, "This is not\na copyright notice, but licensed": None, "SPDX-License-Identifier: \n\nnothing": None,
+    }
+    texts = list(known)
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {texts[r["doc_id"]]: r["license"] for r in got} == known
+    own = {texts[r["doc_id"]]: r["sentence_ids"] for r in got}
+    assert own[MIT] == ["MIT-TITLE", "MIT-GRANT", "MIT-KEEP"] and own[BSD] == ["BSD-GRANT", "BSD-SOURCE", "BSD-BINARY"] and own[ISC] == ["ISC-GRANT"]
