@@ -1,13 +1,16 @@
 """Language-model scores by prediction by partial matching over bytes, beside a smoothed unigram base.
 
-The trie of byte contexts is counted over the whole training part of a corpus. Escapes follow method C (an unseen symbol gets
+The trie of byte contexts is counted over the whole training part of a corpus and stays distributed, every node of it: its
+parts meet the distinct grams of slices of texts, and only logarithms return to the texts. Escapes follow method C (an unseen symbol gets
 as much weight as there are distinct symbols in the context), and symbols of a context are excluded from the shorter ones.
 With fixed counts the symbols of a context are always among those of the next shorter one, so every exclusion is known when
 the model is compiled, and a text's code length is a sum of lookups."""
 
 from __future__ import annotations
 
+import io
 import math
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,8 +23,11 @@ from sievework.llm.common import crc_mod, materialize, slices, threshold_for
 
 #: Bytes of context; with the symbol they must fit a 64-bit number.
 ORDER = 5
-#: Most nodes of the trie; beyond it, nodes seen least go first, from all orders alike.
-MOST_NODES = 2_000_000
+#: Last bytes of a context that say which part of the trie has it; nodes of shorter contexts are in every part.
+SUFFIX = 3
+#: Bytes of text that are scored together, and training tokens for each part of the trie; parts grow in number with the input.
+SLICE = 4 << 20
+PART_TOKENS = 2_000_000
 #: Most words whose counts are broadcast; counts of the others are joined by a shuffle.
 HEAD_WORDS = 1 << 18
 #: Distinct words, or millions of bytes of counts, that a Python worker holds before it passes them on.
@@ -173,18 +179,67 @@ class Model:
         return np.add.reduceat(each, np.column_stack([begins, begins + lengths]).ravel())[::2].tolist()
 
 
-def fit(docs: DataFrame, order: int = ORDER, most_nodes: int = MOST_NODES, text: str = "text") -> Model:
-    """The model of all docs; at most most_nodes nodes reach the driver, those that were seen most."""
-    nodes = gram_table(docs, order, text)
-    least = threshold_for(nodes, "n", most_nodes)
-    found = nodes.where(F.col("n") >= least).toArrow()
-    depth, gram, n = (found.column(c).to_numpy() for c in ("depth", "gram", "n"))
+def _part(grams, parts: int):
+    """The part of the trie that scores grams, by the last bytes of their contexts; of numpy numbers or of a Column."""
+    if isinstance(grams, np.ndarray):
+        context = (grams >> np.uint64(8)) & np.uint64((1 << 8 * SUFFIX) - 1)
+        return ((context * np.uint64(2654435761) >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(parts)
+    context = F.shiftright(grams, 8).bitwiseAND(F.lit((1 << 8 * SUFFIX) - 1))
+    return F.shiftright(context * F.lit(2654435761), 8).bitwiseAND(F.lit(0xFFFFFF)) % F.lit(parts)
+
+
+def _levels(depth: np.ndarray, gram: np.ndarray, n: np.ndarray, orders: range) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
-    for k in range(order + 1):
+    for k in orders:
         keys, counts = gram[depth == k].view(np.uint64), n[depth == k]
         by = np.argsort(keys)
         out.append((keys[by], counts[by]))
-    return Model(out)
+    return out
+
+
+def _by_part(texts: list[bytes], order: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct grams of texts by part and number, the part of each, each gram's place among them, and the range of each text."""
+    grams, begins, lengths = symbols(texts, order)
+    encoded = pa.array(grams).dictionary_encode()
+    distinct, inverse = encoded.dictionary.to_numpy(), encoded.indices.to_numpy()
+    part = _part(distinct, parts)
+    by = np.lexsort((distinct, part))
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    return distinct[by], part[by].astype(np.int64), place[inverse], begins, lengths
+
+
+def _zip(values: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unzip(data: bytes, n: int, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def logs(nodes: DataFrame, asked: DataFrame, order: int, parts: int) -> DataFrame:
+    """(slice, part, size, logs) of asked (slice, part, size, data): the model's log10 of each gram, in the order of data.
+
+    nodes (depth, gram, n) are the whole trie. A task holds a part of it and the nodes of the shortest contexts, whose
+    number bytes bound; exclusions and escapes of a gram need nothing else, as all its contexts end alike."""
+    short = nodes.where(F.col("depth") < SUFFIX).toArrow()
+    base = _levels(*(short.column(c).to_numpy() for c in ("depth", "gram", "n")), range(min(SUFFIX, order + 1)))
+    shared = nodes.sparkSession.sparkContext.broadcast(base)
+
+    def answer(own: pa.Table, asks: pa.Table) -> pa.Table:
+        columns = (own.column(c).to_numpy() for c in ("depth", "gram", "n")) if own.num_rows else (np.zeros(0, np.int64),) * 3
+        model = Model([*shared.value, *_levels(*columns, range(len(shared.value), order + 1))])
+        found = []
+        for data, n in zip(asks.column("data").to_pylist(), asks.column("size").to_pylist(), strict=True):
+            found.append(_zip(model.log10(np.cumsum(_unzip(data, n, "<u8"), dtype=np.uint64)).astype("<f4")))
+        return pa.table({"slice": asks.column("slice"), "part": asks.column("part"), "size": asks.column("size"), "logs": pa.array(found, pa.binary())})
+
+    deep = nodes.where(F.col("depth") >= SUFFIX).select(_part(F.col("gram"), parts).alias("part"), "depth", "gram", "n")
+    return deep.groupBy("part").cogroup(asked.select("slice", "part", "size", "data").groupBy("part")).applyInArrow(answer, "slice long, part long, size long, logs binary")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +260,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def score(docs: DataFrame, order: int = ORDER, most_nodes: int = MOST_NODES, head_words: int = HEAD_WORDS, held: tuple[int, int] = (7, 2)) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, head_words: int = HEAD_WORDS, held: tuple[int, int] = (7, 2)) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of all docs (doc_id, text).
 
     held_out: crc32 of the id as text, modulo held[0], is held[1]; held-out texts are not learned from, and a null id is
@@ -220,7 +275,8 @@ def score(docs: DataFrame, order: int = ORDER, most_nodes: int = MOST_NODES, hea
     least = threshold_for(counts, "n", head_words)
     top = counts.where(F.col("n") >= least).toArrow()
     head = spark.sparkContext.broadcast((top.column("word").to_pylist(), top.column("n").to_pylist()))
-    model = spark.sparkContext.broadcast(fit(train, order, most_nodes))
+    nodes = gram_table(train, order)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // PART_TOKENS)
     cached: dict = {}
 
     def known() -> dict[bytes, float]:
@@ -243,27 +299,51 @@ def score(docs: DataFrame, order: int = ORDER, most_nodes: int = MOST_NODES, hea
                     ids, marks, words, times = [], [], [], []
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int64())], names=["doc_id", "mark", "word", "times"])
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        in_head, trie = known(), model.value
-        get = in_head.get
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slices of texts: a row for each part of the trie that a slice asks, and one without a part that holds the texts."""
+        get = known().get
         for batch in batches:
-            n_tokens, n_known, base, own = [], [], [], []
+            n_tokens, n_known, base, plain = [], [], [], []
             texts = _texts(batch.column("text"))
             sizes = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-            for a, b in slices(sizes, 1 << 20):
-                split = [t.lower().split() for t in texts[a:b]]
-                for ws in split:
-                    logs = [x for x in map(get, [*ws, END]) if x is not None]
-                    n_tokens.append(len(ws) + 1)
-                    n_known.append(len(logs))
-                    base.append(math.fsum(logs))
-                own += trie.texts([b" ".join(ws) for ws in split])
-            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), batch.column("mark"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], names=["doc_id", "held_out", "mark", "n_tokens", "head_known", "head_sum", "score"])
+            for t in texts:
+                ws = t.lower().split()
+                sums = [x for x in map(get, [*ws, END]) if x is not None]
+                n_tokens.append(len(ws) + 1)
+                n_known.append(len(sums))
+                base.append(math.fsum(sums))
+                plain.append(b" ".join(ws))
+            columns = {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "mark": batch.column("mark"), "n_tokens": pa.array(n_tokens, pa.int64()), "head_known": pa.array(n_known, pa.int64()), "head_sum": pa.array(base, pa.float64()), "text": pa.array(plain, pa.large_binary())}
+            whole = pa.record_batch(columns)
+            for a, b in slices(sizes, SLICE):
+                own = int.from_bytes(os.urandom(8), "little") >> 1
+                sink = io.BytesIO()
+                with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(whole.slice(a, b - a))
+                grams, part, _, _, _ = _by_part(plain[a:b], order, parts)
+                first = np.flatnonzero(np.diff(part, prepend=-1))
+                ends = np.append(first, len(part))[1:]
+                data = [_zip(np.diff(grams[x:y], prepend=np.uint64(0))) for x, y in zip(first.tolist(), ends.tolist(), strict=True)]
+                yield pa.record_batch({"slice": pa.array([own] * (len(first) + 1), pa.int64()), "part": pa.array([None, *part[first].tolist()], pa.int64()), "size": pa.array([b - a, *(ends - first).tolist()], pa.int64()), "data": pa.array([sink.getvalue(), *data], pa.binary())})
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, answers in zip(batch.column("data"), batch.column("answers"), strict=True):
+                (rows,) = pa.ipc.open_stream(data.as_buffer()).read_all().to_batches()
+                _, _, place, begins, lengths = _by_part(rows.column("text").to_pylist(), order, parts)
+                found = sorted(answers.as_py(), key=lambda x: x["part"])
+                each = np.concatenate([_unzip(x["logs"], x["size"], "<f4") for x in found]).astype(np.float64)
+                each = np.append(each[place], 0.0)
+                own = np.add.reduceat(each, np.column_stack([begins, begins + lengths]).ravel())[::2]
+                yield pa.record_batch([*rows.columns[:-1], pa.array(own, pa.float64())], names=[*rows.schema.names[:-1], "score"])
 
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text", "held_out")
     tail = marked.select("doc_id", "mark", "text").mapInArrow(rare, "doc_id long, mark long, word binary, times long").join(counts.where(F.col("n") < least), "word")
     tail = tail.select("doc_id", "mark", F.lit(0).alias("same"), "times", (F.col("times") * F.log10(F.col("n") + 1)).alias("part"))
-    heads = marked.mapInArrow(scored, "doc_id long, held_out boolean, mark long, n_tokens long, head_known long, head_sum double, score double")
+    pieces = materialize(marked.mapInArrow(cut, "slice long, part long, size long, data binary"), "slices")
+    answers = logs(nodes, pieces.where(F.col("part").isNotNull()), order, parts).groupBy("slice").agg(F.collect_list(F.struct("part", "size", "logs")).alias("answers"))
+    bodies = pieces.where(F.col("part").isNull()).select("slice", "data").join(answers, "slice")
+    heads = bodies.select("data", "answers").mapInArrow(scored, "doc_id long, held_out boolean, mark long, n_tokens long, head_known long, head_sum double, score double")
     heads = materialize(heads, "scores")
     by_doc = heads.select("doc_id", "mark", F.lit(1).alias("same"), F.lit(0).cast("long").alias("times"), F.lit(0.0).alias("part")).unionByName(tail)
     by_doc = by_doc.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.sum("same").alias("same"), F.sum("times").alias("times"), F.sum("part").alias("part"))

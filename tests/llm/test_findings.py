@@ -2,7 +2,10 @@
 
 from collections import Counter
 
-from sievework.llm import bpe, licenses, ngram_join, queries, urlfilter
+import numpy as np
+import pytest
+
+from sievework.llm import bpe, licenses, ngram_join, ppm, queries, urlfilter
 
 
 def test_bpe_of_odd_white_space_alone(spark):
@@ -104,3 +107,40 @@ def test_licenses_over_lines(spark):
     assert {texts[r["doc_id"]]: r["license"] for r in got} == known
     own = {texts[r["doc_id"]]: r["sentence_ids"] for r in got}
     assert own[MIT] == ["MIT-TITLE", "MIT-GRANT", "MIT-KEEP"] and own[BSD] == ["BSD-GRANT", "BSD-SOURCE", "BSD-BINARY"] and own[ISC] == ["ISC-GRANT"]
+
+
+def _lm_wanted(rows, held, order):
+    """doc_id and score by one model of all texts that are not held out, and how many nodes it has."""
+    data = [(r["doc_id"], b" ".join((r["text"] or "").encode().lower().split())) for r in rows.collect()]
+    grams, begins, lengths = ppm.symbols([t for d, t in data if d not in held], order)
+    inside = np.concatenate([np.arange(b, b + n) for b, n in zip(begins, lengths)])
+    nodes = [np.unique(grams[inside] & np.uint64((1 << 8 * (k + 1)) - 1), return_counts=True) for k in range(order + 1)]
+    return [(d, x) for (d, _), x in zip(data, ppm.Model(nodes).texts([t for _, t in data]))], sum(len(g) for g, _ in nodes)
+
+
+def _same_scores(got, want):
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    got, want = sorted(((r["doc_id"], r["score"]) for r in got), key=key), sorted(want, key=key)
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-6)
+
+
+@pytest.mark.parametrize("order", [5, 3, 2, 0])
+def test_lm_parts_of_the_trie_are_the_whole(spark, monkeypatch, order):
+    monkeypatch.setattr(ppm, "SLICE", 20_000, raising=False)
+    odd = spark.createDataFrame([(None, "zz q"), (-1, ""), (-2, None), (-3, "\u00e1\u0142 \U0001f600"), (-3, "again")], "doc_id long, text string")
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(odd)
+    got = ppm.score(rows, order).collect()
+    held = {r["doc_id"] for r in got if r["held_out"]}
+    assert held
+    _same_scores(got, _lm_wanted(rows, held, order)[0])
+
+
+def test_lm_keeps_more_than_two_million_nodes(spark):
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789+-*/=%&$", np.uint8)
+    texts = np.random.default_rng(2).choice(letters, (1000, 1000))
+    rows = spark.createDataFrame([(i, t.tobytes().decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = ppm.score(rows).collect()
+    want, n = _lm_wanted(rows, {r["doc_id"] for r in got if r["held_out"]}, ppm.ORDER)
+    assert n > 2_000_000
+    _same_scores(got, want)
