@@ -35,13 +35,13 @@ class Rule:
 #: The threshold table. Measures are SQL over the columns of `measures`; a null measure breaks no rule.
 RULES = (
     Rule("word_count", "n_words", 10, 1_000_000),
-    Rule("mean_word_length", "word_chars / n_words", 2, 14),
-    Rule("symbol_ratio", "n_symbols / n_words", None, 0.1),
-    Rule("stop_word_ratio", "n_stop_words / n_words", 0.005, None),
-    Rule("duplicate_line_ratio", "n_dup_lines / n_lines", None, 0.5),
-    Rule("ellipsis_line_ratio", "n_ellipsis_lines / n_lines", None, 0.5),
-    Rule("bullet_line_ratio", "n_bullet_lines / n_lines", None, 0.9),
-    Rule("digit_ratio", "n_digits / word_chars", None, 0.5),
+    Rule("mean_word_length", "try_divide(word_chars, n_words)", 2, 14),
+    Rule("symbol_ratio", "try_divide(n_symbols, n_words)", None, 0.1),
+    Rule("stop_word_ratio", "try_divide(n_stop_words, n_words)", 0.005, None),
+    Rule("duplicate_line_ratio", "try_divide(n_dup_lines, n_lines)", None, 0.5),
+    Rule("ellipsis_line_ratio", "try_divide(n_ellipsis_lines, n_lines)", None, 0.5),
+    Rule("bullet_line_ratio", "try_divide(n_bullet_lines, n_lines)", None, 0.9),
+    Rule("digit_ratio", "try_divide(n_digits, word_chars)", None, 0.5),
 )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,7 +107,8 @@ from rated
 def _op10_sql() -> str:
     forms = sorted({f + end for w in quality.STOP_WORDS for f in (w, w.capitalize()) for end in ("", ".", ",")})
     stop = ", ".join("'" + w + "'" for w in forms)
-    broken = " or ".join(quality._sql(r).replace("D)", "::double)").replace("D or", "::double or").replace("D,", "::double,") for r in quality.RULES)
+    ratio = lambda m: re.sub(r"try_divide\((\w+), (\w+)\)", r"\1 / nullif(\2, 0)", m)
+    broken = " or ".join(ratio(quality._sql(r)).replace("D)", "::double)").replace("D or", "::double or").replace("D,", "::double,") for r in quality.RULES)
     return rf"""
 with docs as (select row_number() over () as k, doc_id, coalesce(text, '') as t, {_WORDS} as w from documents),
 windows as (select k, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4] as g from (select k, w, unnest(range(1, len(w) - 3)) as i from docs)),
@@ -124,7 +126,7 @@ counts as (select docs.k, doc_id, len(w)::bigint as n_words, length(regexp_repla
   from docs join lines using (k) left join covered using (k))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
-  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and not ({broken.replace("/ n_words", "/ nullif(n_words, 0)").replace("/ n_lines", "/ nullif(n_lines, 0)").replace("/ word_chars", "/ nullif(word_chars, 0)")}) as kept
+  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and not ({broken}) as kept
 from counts
 """
 
