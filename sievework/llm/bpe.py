@@ -1,29 +1,31 @@
 """Byte-pair encoding and decoding through a table of distinct words.
 
-Texts are split into words, every distinct word is encoded once, and ids are joined back by position: frequent words through
-a broadcast of bounded size, all other words through a shuffle join. Decoding joins ids with the vocabulary's pieces."""
+Slices of texts are split into words; a slice keeps, for each place in each text, the number of its distinct word. The
+distinct words of all slices meet in a table parted by word, where each is encoded once. Their ids return to the slices and
+are joined with the places; texts come back from a join of ids with the vocabulary's pieces. Only distinct words and
+numbers are shuffled, never texts."""
 
 from __future__ import annotations
 
 import os
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import materialize, row_key, slices, threshold_for
-from sievework.llm.shingles import hashed, parts, spans
+from sievework.llm.common import discard, materialize, pack, slices, unpack
+from sievework.llm.shingles import Words, hashes, parts
 
-#: Most words that are broadcast; the rest are joined by a shuffle.
-HEAD_WORDS = 1 << 20
-#: Most distinct words or chunks that a Python worker keeps at once.
-KEEP = 150_000
-#: Bytes of text that a Python worker looks at together.
-PART = 1 << 20
+#: Bytes of text in a slice; a longer text is a slice of its own.
+SLICE = 8 << 20
+#: Most distinct words whose ids a Python worker keeps; beyond, it forgets them and encodes words again.
+KEEP = 600_000
+#: Bytes of text that are put together again at once.
+PART = 2 << 20
 #: Punctuation that a tokenizer parts from a letter or digit before it.
 TRAILING = b".,;:!?#$%&*"
 #: Marks the start of a special token, which is found before case is folded.
@@ -52,163 +54,166 @@ def words(chunk: bytes) -> tuple[bytes, ...]:
     return (core, chunk[len(core) :]) if split and len(core) < len(chunk) else (chunk,)
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return column.cast(pa.binary()).fill_null(b"").to_pylist()
+class Encoder:
+    """Ids (little-endian 32-bit numbers) of runs without white space; each distinct word is encoded once."""
 
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter[bytes] = Counter()
-
-    def flush() -> pa.RecordBatch:
-        out: Counter[bytes] = Counter()
-        for chunk, n in found.items():
-            for w in words(chunk):
-                out[w] += n
-        found.clear()
-        return pa.record_batch({"word": pa.array(out.keys(), pa.binary()), "n": pa.array(out.values(), pa.int64())})
-
-    for batch in batches:
-        for _, _, data, starts in parts(batch.column(0), PART):
-            chunks = _Chunks(data, starts)
-            for chunk, n in zip(chunks.distinct(range(len(chunks.first))), np.bincount(chunks.inverse, minlength=len(chunks.first)).tolist(), strict=True):
-                found[chunk] += n
-            if len(found) > KEEP:
-                yield flush()
-    if found:
-        yield flush()
-
-
-def _encoded(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        for batch in batches:
-            texts = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
-            ids = [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            yield pa.record_batch({"word": batch.column("word"), "n": batch.column("n"), "ids": pa.array(ids, pa.binary())})
-
-    return run
-
-
-def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Every distinct word of docs with its count n and its ids (little-endian 32-bit numbers), encoded once."""
-    counted = docs.select(text).mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return materialize(counted.mapInArrow(_encoded(path), "word binary, n long, ids binary"), "words")
-
-
-class _Chunks:
-    """The runs without white space of some texts: where they are, and which are equal by a 64-bit hash."""
-
-    def __init__(self, data: np.ndarray, starts: np.ndarray):
-        self.data = data.tobytes()
-        self.begin, self.end = spans(data, starts)
-        self.at = np.searchsorted(self.begin, starts)
-        self.keys, self.first, self.inverse = np.unique(hashed(data, self.begin, self.end, False), return_index=True, return_inverse=True)
-
-    def distinct(self, which) -> Iterator[bytes]:
-        """The bytes of distinct runs by number."""
-        first = self.first[np.asarray(which, np.int64)]
-        return (self.data[a:b] for a, b in zip(self.begin[first].tolist(), self.end[first].tolist(), strict=True))
-
-
-class _Head:
-    """The broadcast words, unpacked once in each Python process."""
-
-    def __init__(self, found: pa.Table):
-        self.sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(self.sink, found.schema) as out:
-            out.write_table(found)
-        self.sink = self.sink.getvalue().to_pybytes()
-        self.ids: dict[bytes, bytes] | None = None
-
-    def table(self) -> dict[bytes, bytes]:
-        if self.ids is None:
-            t = pa.ipc.open_stream(self.sink).read_all()
-            self.ids = dict(zip(t.column("word").to_pylist(), t.column("ids").to_pylist(), strict=True))
-        return self.ids
-
-
-def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), head_words: int = HEAD_WORDS, decoded: bool = False) -> DataFrame:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.words: dict[bytes, bytes] = {}
+        self.chunks: dict[bytes, bytes] = {}
+
+    def __call__(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each chunk; runs of odd white space alone have none."""
+        if len(self.chunks) > KEEP:
+            self.words.clear()
+            self.chunks.clear()
+        own = {c: words(c) for c in chunks if c not in self.chunks}
+        new = list({w for ws in own.values() for w in ws if w not in self.words})
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        self.words.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
+        self.chunks.update((c, b"".join(map(self.words.__getitem__, ws))) for c, ws in own.items())
+        return list(map(self.chunks.__getitem__, chunks))
+
+
+def _buckets(distinct: pa.Array, n: int) -> np.ndarray:
+    """The part of the word table that has each run: words that differ in case or final punctuation share theirs."""
+    core = pc.utf8_rtrim(pc.utf8_lower(distinct), characters=TRAILING.decode())
+    core = pc.if_else(pc.equal(pc.binary_length(core), 0), distinct, core)
+    return (hashes(core) % np.uint64(n)).astype("<u4")
+
+
+def _key(rows: pa.RecordBatch) -> int:
+    """A number that names a slice by all that it holds."""
+    digest = xxhash.xxh3_64()
+    for column in rows.columns:
+        for buffer in pa.concat_arrays([column]).buffers():
+            digest.update(b"" if buffer is None else memoryview(buffer))
+    return digest.intdigest() >> 1
+
+
+class _Slice:
+    """A slice's distinct words by part of the word table, and the place of each word of its texts among them."""
+
+    def __init__(self, own: Words, n: int):
+        counts = np.bincount(own.codes, minlength=len(own.distinct))
+        order = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]  # frequent words get small numbers
+        number = np.zeros(len(counts), "<u4")
+        number[order] = np.arange(len(order), dtype="<u4")
+        self.words, self.numbers = own.distinct.take(pa.array(order)), number[own.codes]
+        self.parts = _buckets(self.words, n)
+        self.by = np.argsort(self.parts, kind="stable")
+        self.first = np.append(np.flatnonzero(np.diff(self.parts[self.by].astype(np.int64), prepend=-1)), len(self.by))
+
+    def asked(self, key: int) -> pa.RecordBatch:
+        """A row for each part of the word table that has words of the slice."""
+        first = self.first
+        lists = pa.LargeListArray.from_arrays(pa.array(first, pa.int64()), self.words.take(pa.array(self.by)))
+        joined = pc.binary_join(lists, pa.scalar("\n", pa.large_string())).cast(pa.large_binary())
+        data = pa.array([pa.compress(x.as_buffer(), codec="zstd", asbytes=True) for x in joined], pa.binary())
+        part = pa.array(self.parts[self.by[first[:-1]]].astype(np.int32))
+        return pa.record_batch([pa.array([key] * len(joined), pa.int64()), part, pc.binary_length(joined).cast(pa.int64()), pa.array(np.diff(first)), data], names=["slice", "part", "size", "words", "data"])
+
+
+def _plain(docs: DataFrame) -> bool:
+    """Whether docs has the same rows in the same order each time: a scan of files or given rows, without a shuffle."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    return plan.deterministic() and all(line.split()[1 if line[0] in "+:" else 0].split("(")[0] in ("Project", "Filter", "Relation", "LocalRelation") for line in plan.toString().strip().splitlines())
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False, slice_bytes: int = SLICE) -> DataFrame:
     """The columns keep of docs and ids array<int>, as the tokenizer file at path encodes the whole text without adding special tokens.
 
     With decoded there is also a column of that name, which `decode` would give: one Python process does both.
     path must lead to the file on every executor. Null and empty texts have no ids. Any length of text is encoded whole.
-    Rows stand by themselves: repeated rows and repeated or null ids give a row each. Other columns of docs are ignored."""
+    Rows stand by themselves: repeated rows and repeated or null ids give a row each. Other columns of docs are ignored.
+    docs is read twice, first for its words and then for their places; if it isn't a scan, a copy on disk is."""
     spark = docs.sparkSession
-    docs = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), row_key("doc_id", text).alias("_key") if "doc_id" in docs.columns else F.xxhash64(text).alias("_key"), F.col(text).alias("_text"))
-    table = word_table(docs, path, "_text")
-    least = threshold_for(table, "n", head_words)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"_{i}" for i in range(len(keep))]
+    docs = docs.select(*(F.col(c).alias(x) for c, x in zip(keep, names, strict=True)), F.col(text).alias("_text"))
+    if not _plain(docs):
+        docs = materialize(docs, "texts")
     vocabulary = spark.sparkContext.broadcast(pieces(path)) if decoded else None
-    head = spark.sparkContext.broadcast(_Head(table.where(F.col("n") >= least).select("word", "ids").toArrow()))
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.value.table()
-        plain = np.zeros(0, np.uint64)  # hashes of chunks of which all words are known
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, Words]]:
         for batch in batches:
-            for a, b, data, starts in parts(batch.column(1), PART):
-                chunks = _Chunks(data, starts)
-                at = np.minimum(np.searchsorted(plain, chunks.keys), max(len(plain) - 1, 0))
-                new = np.flatnonzero(plain[at] != chunks.keys) if len(plain) else np.arange(len(chunks.keys))
-                unknown: dict[int, list[bytes]] = {}
-                for i, chunk in zip(new.tolist(), chunks.distinct(new), strict=True):
-                    own = [w for w in words(chunk) if w not in known]
-                    if own:
-                        unknown[i] = own
-                fine = np.setdiff1d(new, np.fromiter(unknown, np.int64, len(unknown)), assume_unique=True)
-                plain = np.sort(np.concatenate([plain if len(plain) < 2 * KEEP else plain[:0], chunks.keys[fine]]))
-                marked = np.zeros(len(chunks.keys), bool)
-                marked[list(unknown)] = True
-                where = np.flatnonzero(marked[chunks.inverse])
-                pairs = np.unique(np.column_stack([np.searchsorted(chunks.at, where, "right") - 1, chunks.inverse[where]]), axis=0) if len(where) else np.zeros((0, 2), np.int64)
-                ids = batch.column(0).slice(a, b - a).to_pylist()
-                out = [(ids[row], w) for row, i in pairs.tolist() for w in unknown[i]]
-                yield pa.record_batch({"_key": pa.array([k for k, _ in out], pa.int64()), "word": pa.array([w for _, w in out], pa.binary())})
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd", 3)
+            for a, b, own in parts(batch.column("_text"), slice_bytes):
+                rows = batch.slice(a, b - a)
+                if len(own.codes):
+                    yield _key(rows), rows, own
+                else:
+                    yield -1, rows, own
+            pa.default_memory_pool().release_unused()
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, _, own in split(batches):
+            if key >= 0:
+                yield _Slice(own, n).asked(key)
+
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(path)
         for batch in batches:
-            texts = _texts(batch.column("_text"))
-            yield pa.record_batch([*batch.columns[:-1], pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary()), pa.array(map(len, texts), pa.int32())], names=[*batch.schema.names[:-1], "_zip", "_size"])
+            columns: dict[str, list] = {"sizes": [], "ids": [], "n_ids": []}
+            for data, size in zip(batch.column("data"), batch.column("size").to_pylist(), strict=True):
+                ids = encoder(pa.decompress(data.as_buffer(), size, codec="zstd", asbytes=True).split(b"\n"))
+                flat = np.frombuffer(b"".join(ids), "<u4")
+                columns["sizes"].append(pack(np.fromiter(map(len, ids), "<u4", len(ids)) // 4))
+                columns["ids"].append(pack(flat))
+                columns["n_ids"].append(len(flat))
+            yield pa.record_batch([batch.column("slice"), batch.column("part"), batch.column("words"), pa.array(columns["sizes"], pa.binary()), pa.array(columns["ids"], pa.binary()), pa.array(columns["n_ids"], pa.int64())], names=["slice", "part", "words", "sizes", "ids", "n_ids"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows, own in split(batches):
+            sink = pa.BufferOutputStream()
+            kept = pa.record_batch([*rows.columns[:-1], pa.nulls(rows.num_rows)], names=rows.schema.names)
+            with pa.ipc.new_stream(sink, kept.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(kept)
+            cut = _Slice(own, n)
+            columns = {"rows": sink.getvalue().to_pybytes(), "starts": pack(own.starts.astype("<i8")), "numbers": pack(cut.numbers), "parts": pack(cut.parts)}
+            yield pa.record_batch({"slice": pa.array([key], pa.int64()), "size": pa.array([len(cut.numbers)], pa.int64()), "words": pa.array([len(cut.parts)], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in columns.items()}})
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, codec = head.value.table(), pa.Codec("zstd")
-        cache: dict[int, bytes] = {}
         table_of = pa.array(vocabulary.value, pa.large_string()) if decoded else None
         for batch in batches:
-            texts = pa.array([codec.decompress(z.as_buffer(), n, asbytes=True) if n else b"" for z, n in zip(batch.column("_zip"), batch.column("_size").to_pylist(), strict=True)], pa.large_binary())
-            for a, b, data, starts in parts(texts, PART):
-                chunks = _Chunks(data, starts)
-                keys = chunks.keys.tolist()
-                got = list(map(cache.get, keys))
-                new = [i for i, x in enumerate(got) if x is None]
-                if new:
-                    own = {x["word"]: x["ids"] for row in batch.column("_rare").slice(a, b - a).to_pylist() for x in row or ()}
-                    if len(cache) > KEEP:
-                        cache.clear()
-                    for i, chunk in zip(new, chunks.distinct(new), strict=True):
-                        # words of odd white space alone have no ids, which is not the same as being unknown
-                        got[i] = cache[keys[i]] = b"".join([own[w] if (ids_of := known.get(w)) is None else ids_of for w in words(chunk)])
-                sizes = np.array(list(map(len, got)), np.int64) // 4
-                by_chunk = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64()), pa.array(np.frombuffer(b"".join(got), "<i4")))
-                flat = by_chunk.take(pa.array(chunks.inverse)).flatten()
-                ends = np.concatenate([[0], np.cumsum(sizes[chunks.inverse])])[chunks.at]
-                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)
-                more = [_decoded(ids, table_of)] if decoded else []
-                yield pa.record_batch([*(batch.column(f"_{i}").slice(a, b - a) for i in range(len(keep))), ids, *more], names=[*(f"_{i}" for i in range(len(keep))), "ids", *["decoded"] * decoded])
+            for i in range(batch.num_rows):
+                yield from _assembled({c: batch.column(c)[i].as_py() for c in batch.schema.names}, names, table_of)
+            pa.default_memory_pool().release_unused()
 
-    names = [f"_{i}" for i in range(len(keep))]
     types = dict(docs.dtypes)
-    own = ", ".join(f"{c} {types[c]}" for c in names)
-    tail = docs.select("_key", "_text").mapInArrow(rare, "_key long, word binary")
-    rest = tail.join(table.where(F.col("n") < least).select("word", "ids"), "word")
-    by_key = rest.groupBy("_key").agg(F.collect_list(F.struct("word", "ids")).alias("_rare"))
-    zipped = docs.select(*names, "_key", "_text").mapInArrow(packed, ", ".join([own, "_key long, _zip binary, _size int"]).lstrip(", "))
-    out = zipped.join(by_key, "_key", "left").select(*names, "_zip", "_size", "_rare").mapInArrow(joined, ", ".join([own, "ids array<int>", *["decoded string"] * decoded]).lstrip(", "))
-    return out.withColumnsRenamed(dict(zip(names, keep, strict=True)))
+    wanted = materialize(docs.mapInArrow(asked, "slice long, part int, size long, words long, data binary"), "words")
+    answers = materialize(wanted.repartitionByRange(n, "part").mapInArrow(table, "slice long, part int, words long, sizes binary, ids binary, n_ids long"), "ids")
+    discard(wanted)
+    answers = answers.groupBy("slice").agg(F.collect_set(F.struct("part", "words", "sizes", "ids", "n_ids")).alias("answers"))
+    bodies = docs.mapInArrow(placed, "slice long, size long, words long, rows binary, starts binary, numbers binary, parts binary").join(answers, "slice", "left")
+    schema = ", ".join([*(f"{c} {types[c]}" for c in names), "ids array<int>", *["decoded string"] * decoded])
+    return bodies.select("size", "words", "rows", "starts", "numbers", "parts", "answers").mapInArrow(joined, schema).withColumnsRenamed(dict(zip(names, keep, strict=True)))
+
+
+def _assembled(row: dict, names: list[str], table_of: pa.Array | None) -> Iterator[pa.RecordBatch]:
+    """The rows of a slice with their ids: the answers of the word table joined with the places of the words."""
+    rows = pa.ipc.open_stream(row["rows"]).read_next_batch()
+    starts, part = unpack(row["starts"], rows.num_rows + 1, "<i8"), unpack(row["parts"], row["words"], "<u4")
+    answers = sorted(row["answers"] or (), key=lambda x: x["part"])
+    if [x["part"] for x in answers] != np.unique(part).tolist():
+        raise RuntimeError("the texts changed between two reads")
+    none = np.zeros(0, "<u4")
+    sizes = np.concatenate([none, *(unpack(x["sizes"], x["words"], "<u4") for x in answers)]).astype(np.int64)
+    ids = np.concatenate([none, *(unpack(x["ids"], x["n_ids"], "<u4") for x in answers)])
+    lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])), pa.array(ids.view("<i4")))
+    place = np.empty(len(part), np.int64)
+    place[np.argsort(part, kind="stable")] = np.arange(len(part))
+    places = place[unpack(row["numbers"], row["size"], "<u4")]
+    for a, b in slices(starts, PART // 8):
+        own = places[starts[a] : starts[b]]
+        ends = np.concatenate([[0], np.cumsum(sizes[own])])[starts[a : b + 1] - starts[a]]
+        out = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), lists.take(pa.array(own)).flatten())
+        more = [] if table_of is None else [_decoded(out, table_of)]
+        yield pa.record_batch([*(c.slice(a, b - a) for c in rows.columns[:-1]), out, *more], names=[*names, "ids", *["decoded"] * len(more)])
 
 
 def pieces(path: str) -> list[str]:

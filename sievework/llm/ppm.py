@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import crc_mod, materialize, slices, threshold_for
+from sievework.llm.common import crc_mod, materialize, pack, slices, threshold_for, unpack
 
 #: Bytes of context; with the symbol they must fit a 64-bit number.
 ORDER = 5
@@ -209,18 +209,6 @@ def _by_part(texts: list[bytes], order: int, parts: int) -> tuple[np.ndarray, np
     return distinct[by], part[by].astype(np.int64), place[inverse], begins, lengths
 
 
-def _zip(values: np.ndarray) -> bytes:
-    """Numbers as planes of bytes, compressed."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unzip(data: bytes, n: int, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(data, n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
 def logs(nodes: DataFrame, asked: DataFrame, order: int, parts: int) -> DataFrame:
     """(slice, part, size, logs) of asked (slice, part, size, data): the model's log10 of each gram, in the order of data.
 
@@ -235,7 +223,7 @@ def logs(nodes: DataFrame, asked: DataFrame, order: int, parts: int) -> DataFram
         model = Model([*shared.value, *_levels(*columns, range(len(shared.value), order + 1))])
         found = []
         for data, n in zip(asks.column("data").to_pylist(), asks.column("size").to_pylist(), strict=True):
-            found.append(_zip(model.log10(np.cumsum(_unzip(data, n, "<u8"), dtype=np.uint64)).astype("<f4")))
+            found.append(pack(model.log10(np.cumsum(unpack(data, n, "<u8"), dtype=np.uint64)).astype("<f4")))
         return pa.table({"slice": asks.column("slice"), "part": asks.column("part"), "size": asks.column("size"), "logs": pa.array(found, pa.binary())})
 
     deep = nodes.where(F.col("depth") >= SUFFIX).select(_part(F.col("gram"), parts).alias("part"), "depth", "gram", "n")
@@ -323,7 +311,7 @@ def score(docs: DataFrame, order: int = ORDER, head_words: int = HEAD_WORDS, hel
                 grams, part, _, _, _ = _by_part(plain[a:b], order, parts)
                 first = np.flatnonzero(np.diff(part, prepend=-1))
                 ends = np.append(first, len(part))[1:]
-                data = [_zip(np.diff(grams[x:y], prepend=np.uint64(0))) for x, y in zip(first.tolist(), ends.tolist(), strict=True)]
+                data = [pack(np.diff(grams[x:y], prepend=np.uint64(0))) for x, y in zip(first.tolist(), ends.tolist(), strict=True)]
                 yield pa.record_batch({"slice": pa.array([own] * (len(first) + 1), pa.int64()), "part": pa.array([None, *part[first].tolist()], pa.int64()), "size": pa.array([b - a, *(ends - first).tolist()], pa.int64()), "data": pa.array([sink.getvalue(), *data], pa.binary())})
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +320,7 @@ def score(docs: DataFrame, order: int = ORDER, head_words: int = HEAD_WORDS, hel
                 (rows,) = pa.ipc.open_stream(data.as_buffer()).read_all().to_batches()
                 _, _, place, begins, lengths = _by_part(rows.column("text").to_pylist(), order, parts)
                 found = sorted(answers.as_py(), key=lambda x: x["part"])
-                each = np.concatenate([_unzip(x["logs"], x["size"], "<f4") for x in found]).astype(np.float64)
+                each = np.concatenate([unpack(x["logs"], x["size"], "<f4") for x in found]).astype(np.float64)
                 each = np.append(each[place], 0.0)
                 own = np.add.reduceat(each, np.column_stack([begins, begins + lengths]).ravel())[::2]
                 yield pa.record_batch([*rows.columns[:-1], pa.array(own, pa.float64())], names=[*rows.schema.names[:-1], "score"])

@@ -1,89 +1,86 @@
-"""Vectorised words and shingles: 64-bit hashes of whole Arrow batches, without an object for each word."""
+"""Words and shingles of whole Arrow batches: each distinct word of a part is one object, texts are arrays of numbers."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 
 from sievework.llm.common import slices
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-_EXACT = _mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-_FOLDED = _EXACT[_LOWER]
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
+@dataclass
+class Words:
+    """The words of some texts: the distinct ones, which of them stands at each place, and where each text's places begin."""
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _INVERSE)):
-            _powers[i] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 20), base)]))
-    return _powers[0][:n], _powers[1][:n]
+    distinct: pa.Array
+    codes: np.ndarray
+    starts: np.ndarray
 
+    @property
+    def rows(self) -> np.ndarray:
+        """The text of each place."""
+        return np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
 
-def spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where words begin and end in bytes that hold texts side by side; starts has the texts' offsets, the last one the end."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~_SPACE[data]
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    edges = np.unique(starts)
-    edges = edges[(edges > 0) & (edges < n)]
-    first[edges] |= inside[edges]
-    last[edges - 1] |= inside[edges - 1]
-    return np.flatnonzero(first), np.flatnonzero(last) + 1
 
+def words(texts: pa.Array) -> Words:
+    """Words are runs without ASCII white space, compared byte by byte; null counts as empty."""
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+    encoded = lists.flatten().dictionary_encode()
+    codes = encoded.indices.to_numpy(zero_copy_only=False)
+    starts = lists.offsets.to_numpy().astype(np.int64)
+    starts -= starts[0]
+    blank = pc.index(encoded.dictionary, "").as_py()
+    if blank >= 0:  # white space at an end of a text leaves an empty piece there
+        real = codes != blank
+        starts = np.concatenate([[0], np.cumsum(real)])[starts]
+        codes = codes[real]
+    return Words(encoded.dictionary, codes, starts)
 
-def hashed(data: np.ndarray, begin: np.ndarray, end: np.ndarray, fold: bool) -> np.ndarray:
-    """64-bit hashes of the words, with A-Z lower-cased if fold."""
-    up, down = _power(len(data) + 1)
-    summed = np.concatenate([[np.uint64(0)], np.cumsum((_FOLDED if fold else _EXACT)[data] * up[: len(data)])])
-    return _mix((summed[end] - summed[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
+def parts(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int, Words]]:
+    """Slices (first row, row after the last, words) of an Arrow string column, of about most_bytes of text each."""
+    if len(texts):
+        texts = texts.cast(pa.large_string()).fill_null("")
+        for a, b in slices(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1], most_bytes):
+            yield a, b, words(texts.slice(a, b - a))
 
-def parts(column, most_bytes: int = 1 << 20):
-    """Slices (first row, row after the last, bytes, offsets of their texts) of an Arrow string column; null counts as empty."""
-    import pyarrow as pa
 
-    column = column.cast(pa.large_binary()).fill_null(b"")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
-    for a, b in slices(offsets, most_bytes):
-        yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+def hashes(distinct: pa.Array) -> np.ndarray:
+    """64-bit hashes of words."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(w) for w in distinct.cast(pa.large_binary()).to_pylist()), np.uint64, len(distinct))
 
 
-def shingle_sets(column, k: int):
-    """For each text of an Arrow string column, in order: its sorted distinct k-word shingles as 64-bit numbers.
+def shingle_sets(column: pa.Array, k: int, most_bytes: int = 2 << 20) -> Iterator[np.ndarray]:
+    """For each text of an Arrow string column, in order: its sorted distinct k-word shingles as 64-bit numbers, A-Z lower-cased.
 
     A text of fewer words is one shingle, without words it has none; null counts as empty."""
-    for _, _, data, starts in parts(column):
-        begin, end = spans(data, starts)
-        hashes, at = hashed(data, begin, end, True), np.searchsorted(begin, starts)
-        n = max(0, len(hashes) - k + 1)
+    for _, _, own in parts(pc.ascii_lower(column), most_bytes):
+        hashed = hashes(own.distinct)[own.codes] if len(own.distinct) else np.zeros(0, np.uint64)
+        n = max(0, len(hashed) - k + 1)
         grams = np.full(n, np.uint64(k))
         for i in range(k):
-            grams = _mix(grams * _BASE ^ hashes[i : n + i])
-        for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            grams = mix(grams * _BASE ^ hashed[i : n + i])
+        for x, y in zip(own.starts[:-1].tolist(), own.starts[1:].tolist(), strict=True):
             if y - x >= k:
                 yield np.unique(grams[x : y - k + 1])
             elif y > x:
-                own = np.full(1, np.uint64(y - x))
+                short = np.full(1, np.uint64(y - x))
                 for i in range(x, y):
-                    own = _mix(own * _BASE ^ hashes[i : i + 1])
-                yield own
+                    short = mix(short * _BASE ^ hashed[i : i + 1])
+                yield short
             else:
                 yield np.zeros(0, np.uint64)

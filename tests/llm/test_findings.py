@@ -16,8 +16,26 @@ def test_bpe_of_odd_white_space_alone(spark):
     texts = ["a   b", "\u0085", "x   　　 y", "     "]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
-    for head in (1 << 18, 1, 0):
-        assert {r["doc_id"]: r["ids"] for r in bpe.encode(rows, path, head_words=head, decoded=True).collect()} == want
+    for size in (8 << 20, 4, 1):
+        assert {r["doc_id"]: r["ids"] for r in bpe.encode(rows, path, decoded=True, slice_bytes=size).collect()} == want
+
+
+def _twins():
+    """Two unlike words of 1,024 letters whose sums of letters times powers of any number agree modulo 2^64."""
+    first = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    return first, first.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tokenizer = Tokenizer.from_file(path)
+    texts = [" ".join(f"{w} {x}" for x in "cdefgh") for w in _twins()]
+    rows = spark.createDataFrame(list(enumerate([*texts, " ".join(texts)])), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(rows, path).collect()}
+    assert got == {r["doc_id"]: tokenizer.encode(r["text"], add_special_tokens=False).ids for r in rows.collect()}
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(rows.where("doc_id < 2"), 3, 90).collect()} == {0: 0, 1: 1}
 
 
 def test_keep_one_decides_by_row(spark):
@@ -144,3 +162,17 @@ def test_lm_keeps_more_than_two_million_nodes(spark):
     want, n = _lm_wanted(rows, {r["doc_id"] for r in got if r["held_out"]}, ppm.ORDER)
     assert n > 2_000_000
     _same_scores(got, want)
+
+
+def test_quality_sql_on_odd_texts(spark, tmp_path):
+    import duckdb
+
+    texts = [None, "", " \t\n", "a b c", "1 2 3 " * 4, "the cat sat on the mat and the dog ate it all up", "- x\n- x\n", "wait...\nthe cat and the dog sat on the mat with a hat...", "x " * 12, "# " * 20, "\u00e1\u0142 \U0001f600 " * 6]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op10_quality_rules(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op10_quality_rules"])
+    names = [c[0] for c in want.description]
+    key = lambda r: r[0]
+    assert sorted(map(tuple, got.select(*names).collect()), key=key) == sorted(want.fetchall(), key=key)

@@ -33,8 +33,8 @@ def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
-@pytest.mark.parametrize("head", [1 << 18, 500])
-def test_bpe_is_the_library(spark, docs, odd, none, head):
+@pytest.mark.parametrize("size", [8 << 20, 5000])
+def test_bpe_is_the_library(spark, docs, odd, none, size):
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path()
@@ -42,13 +42,13 @@ def test_bpe_is_the_library(spark, docs, odd, none, head):
     tokenizer.no_truncation()
     tokenizer.no_padding()
     rows = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
-    got = Counter((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in bpe.encode(rows, path, head_words=head, decoded=True).collect())
+    got = Counter((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in bpe.encode(rows, path, decoded=True, slice_bytes=size).collect())
     want = Counter()
     for r in rows.collect():
         ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids
         want[r["doc_id"], tuple(ids), tokenizer.decode(ids, skip_special_tokens=False)] += 1
     assert got == want
-    if head == 500:
+    if size == 5000:
         assert bpe.encode(none, path).count() == 0
         again = bpe.decode(bpe.encode(odd, path), path)
         assert Counter((r["doc_id"], r["decoded"]) for r in again.collect()) == Counter((r["doc_id"], r["decoded"]) for r in bpe.encode(odd, path, decoded=True).collect())
