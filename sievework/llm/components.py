@@ -8,8 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sievework.llm.common import materialize
-
+from sievework.llm.common import discard, materialize
 
 #: Vertices whose links a task holds together before it passes their forest on.
 KEEP = 500_000
@@ -47,11 +46,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each task first thins out the links that it reads. Each round then gives a vertex the smallest label among its own and its neighbours', lets its old label's vertex take the
     smaller one too, and jumps along labels, so long chains halve. Rounds end when no label changes; only that count
-    reaches the driver. Null ends, loops and repeated links change nothing."""
+    reaches the driver. Null ends, loops and repeated links change nothing. `discard` deletes the result's table."""
     pairs = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
     pairs = pairs.mapInArrow(_forest, "u long, v long")
     edges = materialize(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = materialize(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")).select(F.col("u").alias("id"), "l"), "labels")
+    table = labels = materialize(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")).select(F.col("u").alias("id"), "l"), "labels")
     while True:
         near = edges.join(labels.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("l").alias("m"))
         best = labels.join(near, "id").select("id", "l", F.least("l", "m").alias("m"))
@@ -61,6 +60,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         jumped = hooked.join(jump, "m").select("id", "l", F.least("m", "j").alias("m"))
         seen = Observation()
         moved = materialize(jumped.observe(seen, F.count(F.when(F.col("m") < F.col("l"), 1)).alias("changed")), "labels")
-        labels = moved.select("id", F.col("m").alias("l"))
+        discard(table)
+        table, labels = moved, moved.select("id", F.col("m").alias("l"))
         if not seen.get["changed"]:
-            return labels.withColumnRenamed("l", "component")
+            discard(edges)
+            out = labels.withColumnRenamed("l", "component")
+            out._scratch = table._scratch
+            return out

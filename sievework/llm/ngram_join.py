@@ -4,7 +4,8 @@ Texts with equal shingle sets form a class. Shingles are ordered by how many tex
 similar sets share a shingle of their prefixes. Classes with equal prefixes and sizes form a group; groups that share a
 prefix shingle are paired, filtered by size and by counts in hashed bins, expanded to their members and verified on the
 whole sets. Long lists of a shingle are first matched against a few leaders: as linked classes are one component already,
-only pairs across components are left, and these are all compared in the end, so no link between components is lost."""
+only pairs across components are left. These are all compared, block by block within tasks that give only pairs whose bins
+allow a link, so no link between components is lost and no list becomes a row for each pair."""
 
 from __future__ import annotations
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import materialize, threshold_for
+from sievework.llm.common import discard, materialize, threshold_for
 from sievework.llm.components import components
 from sievework.llm.shingles import shingle_sets
 
@@ -27,10 +28,15 @@ HOT_MOST = 1 << 20
 #: Lists up to this length are paired in full; longer ones go through leaders first.
 SHORT_LIST = 8
 LEADERS = 8
+#: Members of a list that a task compares with as many others.
+BLOCK = 2048
 #: Bins of the counting filter.
 BINS = 64
-#: Bits that say which documents' sets are needed.
-BITMAP = 1 << 23
+#: Bits that say which classes' sets are needed: so many for each class, at most MOST_BITS; a clash only keeps a set too many.
+CLASS_BITS = 16
+MOST_BITS = 1 << 28
+#: Classes whose sets a task remembers to have sent, so that copies send theirs once.
+SENT = 200_000
 #: Fixed masks that order the members of a list differently for each leader.
 MASKS = (0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x5851F42D4C957F2D, 0x3C6EF372FE94F82B, 0x14057B7EF767814F, 0x6A09E667F3BCC908, 0x71374491B5C0FBCF, 0x0FC19DC68B8CD5B5)
 
@@ -113,6 +119,14 @@ def class_id(own: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _counts(bins: list[bytes]) -> np.ndarray:
+    """Counts in bins as rows."""
+    kinds = {len(x) for x in bins}
+    if kinds == {BINS}:
+        return np.frombuffer(b"".join(bins), "<u1").reshape(-1, BINS)
+    return np.array([np.frombuffer(x, "<u1" if len(x) == BINS else "<u4") for x in bins], "<u4").reshape(-1, BINS)
+
+
 def _bins(own: np.ndarray) -> bytes:
     counts = np.bincount((own >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS)
     return counts.astype("<u1" if counts.max() < 256 else "<u4").tobytes()
@@ -120,11 +134,11 @@ def _bins(own: np.ndarray) -> bytes:
 
 def signatures(docs: DataFrame, join: Join) -> DataFrame:
     """(doc_id, mark, cid, n, gkey, bins, tokens): a hash of the text, and the class, size, group, bins and prefix of each text's set; cid is null without shingles."""
-    hot = frequent(docs, join)
-    hot = materialize(hot, "hot")
+    hot = materialize(frequent(docs, join), "hot")
     found = hot.where(F.col("n") >= max(HOT_LEAST, threshold_for(hot, "n", HOT_MOST))).toArrow()
     order = np.argsort(found.column("bucket").to_numpy())
     sent = docs.sparkSession.sparkContext.broadcast((found.column("bucket").to_numpy()[order].astype(np.uint32), found.column("n").to_numpy()[order].astype(np.int32)))
+    discard(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, counts = sent.value
@@ -141,6 +155,7 @@ def signatures(docs: DataFrame, join: Join) -> DataFrame:
                 if len(buckets):
                     at = np.minimum(np.searchsorted(buckets, keys), len(buckets) - 1)
                     held = np.where(buckets[at] == keys, counts[at], 0)
+                held[own >= join.region] = np.iinfo(np.int32).max  # not counted, so perhaps frequent: these come last
                 prefix = own[np.argsort(held, kind="stable")[: join.prefix(n)]]
                 group = hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=8).digest()
                 rows.append((doc_id, mark, class_id(own), n, int.from_bytes(group, "little", signed=True), _bins(own), (prefix & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
@@ -166,48 +181,59 @@ class _Verifier:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                most = []
-                for x, y in zip(batch.column("ba").to_pylist(), batch.column("bb").to_pylist(), strict=True):
-                    u, v = (np.frombuffer(z, "<u1" if len(z) == BINS else "<u4") for z in (x, y))
-                    most.append(int(np.minimum(u, v).sum()))
-                total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-                fine = pa.array((p + q) * np.array(most, np.int64) >= p * total)
-                yield pa.record_batch([batch.column("a").filter(fine), batch.column("b").filter(fine)], names=["a", "b"])
+                if batch.num_rows:
+                    most = np.minimum(_counts(batch.column("ba").to_pylist()), _counts(batch.column("bb").to_pylist())).sum(1, dtype=np.int64)
+                    fine = pa.array((p + q) * most >= p * (batch.column("na").to_numpy() + batch.column("nb").to_numpy()))
+                    yield pa.record_batch([batch.column("a").filter(fine), batch.column("b").filter(fine)], names=["a", "b"])
 
         return both.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long")
 
     def gather(self, cids: DataFrame) -> None:
         """Computes the sets of the classes once more from their texts; a bitmap of bounded size says which are needed."""
         spark = self.docs.sparkSession
-        bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP)) + 1
-        need = cids.select("cid").distinct().join(self.classes.select("cid", F.col("least.doc_id").alias("least_doc")), "cid")
-        marks = need.select(bit(F.col("least_doc")).alias("h"))
-        rows = marks.groupBy(F.expr("bitmap_bucket_number(h)").alias("at")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits")).collect()
-        bitmap = np.zeros(BITMAP + (1 << 16), bool)
-        for r in rows:
-            bits = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
-            at = (r["at"] - 1) * 32768
-            bitmap[at + 1 : at + 1 + len(bits)] = bits.astype(bool)
-        packed = spark.sparkContext.broadcast(np.packbits(bitmap))
+        need = materialize(cids.select("cid").distinct(), "need")
+        n_bits = 1 << 16
+        while n_bits < min(MOST_BITS, CLASS_BITS * need.count()):
+            n_bits *= 2
+        marks = need.select((F.pmod("cid", F.lit(n_bits)) + 1).alias("h"))
+        rows = marks.groupBy(F.expr("bitmap_bucket_number(h)").alias("at")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits")).toArrow()
+        bitmap = np.zeros(n_bits // 8 + (1 << 13), np.uint8)
+        for bucket, bits in zip(rows.column("at").to_pylist(), rows.column("bits"), strict=True):
+            own = np.frombuffer(bits.as_buffer(), np.uint8)
+            bitmap[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(own)] = own
+        sent = spark.sparkContext.broadcast(bitmap)
         k = self.join.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            wanted = np.unpackbits(packed.value).astype(bool)
+            wanted = sent.value
+            seen: set[int] = set()
+            cids, blobs, size = [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                return pa.record_batch([pa.array(cids, pa.int64()), pa.array(blobs, pa.binary())], names=["cid", "own"])
+
             for batch in batches:
-                part = batch.filter(pa.array(wanted[batch.column("h").to_numpy()]))
-                cids, blobs, size = [], [], 0
-                for own in shingle_sets(part.column("text"), k):
-                    if len(own):
-                        cids.append(class_id(own))
-                        blobs.append(own.tobytes())
-                        size += len(blobs[-1])
+                for own in shingle_sets(batch.column("text"), k):
+                    if not len(own):
+                        continue
+                    cid = class_id(own)
+                    at = cid % n_bits
+                    if not wanted[at >> 3] >> (at & 7) & 1 or cid in seen:
+                        continue
+                    if len(seen) >= SENT:
+                        seen.clear()
+                    seen.add(cid)
+                    cids.append(cid)
+                    blobs.append(own.tobytes())
+                    size += len(blobs[-1])
                     if size > 16 << 20:
-                        yield pa.record_batch([pa.array(cids, pa.int64()), pa.array(blobs, pa.binary())], names=["cid", "own"])
+                        yield flush()
                         cids, blobs, size = [], [], 0
-                yield pa.record_batch([pa.array(cids, pa.int64()), pa.array(blobs, pa.binary())], names=["cid", "own"])
+            yield flush()
 
-        marked = self.docs.select(bit(F.col("doc_id").cast("long")).alias("h"), "text")
-        self.sets = materialize(marked.mapInArrow(run, "cid long, own binary"), "sets")
+        found = self.docs.select("text").mapInArrow(run, "cid long, own binary").join(need, "cid", "left_semi")
+        self.sets = materialize(found.dropDuplicates(["cid"]), "sets")
+        discard(need)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         p, q = self.join.p, self.join.q
@@ -226,92 +252,118 @@ class _Verifier:
                 fine = pa.array(fine, pa.bool_())
                 yield pa.record_batch([batch.column("a").filter(fine), batch.column("b").filter(fine)], names=["a", "b"])
 
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _led(lists: DataFrame, masks: tuple[int, ...], of: str = "cid") -> DataFrame:
+def _led(lists: DataFrame) -> DataFrame:
     """(a, b): the leaders of each token's list with its other members; each mask gives a leader."""
-    leaders = lists.groupBy("token").agg(*(F.min(F.col(of).bitwiseXOR(F.lit(m))).alias(f"l{i}") for i, m in enumerate(masks)))
-    each = F.explode(F.array_distinct(F.array(*(F.col(f"l{i}").bitwiseXOR(F.lit(m)) for i, m in enumerate(masks)))))
-    return lists.join(leaders, "token").select(each.alias("a"), F.col(of).alias("b")).where(F.col("a") != F.col("b")).distinct()
+    leaders = lists.groupBy("token").agg(*(F.min(F.col("cid").bitwiseXOR(F.lit(m))).alias(f"l{i}") for i, m in enumerate(MASKS)))
+    each = F.explode(F.array_distinct(F.array(*(F.col(f"l{i}").bitwiseXOR(F.lit(m)) for i, m in enumerate(MASKS)))))
+    return lists.join(leaders, "token").select(each.alias("a"), F.col("cid").alias("b")).where(F.col("a") != F.col("b"))
+
 
+def _across(lists: DataFrame, labels: DataFrame, classes: DataFrame, join: Join, block: int) -> DataFrame:
+    """(a, b): all pairs of members of a list (token, cid) in different components that sizes and bins let link.
 
-def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    Of any such pair one at least is outside the list's largest component; these few are dealt to blocks, all members to
+    others, and a task compares one block with another."""
+    p, q = join.p, join.q
+    placed = lists.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    placed = materialize(placed, "placed")
+    sizes = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
+    blocks = lambda c: F.ceil(c / block).cast("int")
+    main = main.select("token", F.col("top.component").alias("main"), blocks(F.col("all") - F.col("top.size")).alias("lefts"), blocks(F.col("all")).alias("rights"))
+    every = placed.join(main, "token").join(classes.select("cid", "n", "bins"), "cid")
+    deal = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    range_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["token", "left", "right", "few", "cid", "n", "component", "bins"]
+    few = every.where(F.col("component") != F.col("main")).withColumns({"left": deal("lefts"), "few": F.lit(True)}).withColumn("right", range_("rights")).select(*columns)
+    all_ = every.withColumns({"right": deal("rights"), "few": F.lit(False)}).withColumn("left", range_("lefts")).select(*columns)
+
+    def compare(part: pa.Table) -> pa.Table:
+        few = part.column("few").to_numpy()
+        x, y = np.flatnonzero(few), np.flatnonzero(~few)
+        cid, n, component = (part.column(c).to_numpy() for c in ("cid", "n", "component"))
+        counts = _counts(part.column("bins").to_pylist())
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(0, len(x), 32):
+            own = x[at : at + 32]
+            fits = (component[own, None] != component[y]) & (np.minimum(n[own, None], n[y]) * q >= np.maximum(n[own, None], n[y]) * p)
+            i, j = np.nonzero(fits)
+            for s in range(0, len(i), 1 << 16):
+                u, v = own[i[s : s + (1 << 16)]], y[j[s : s + (1 << 16)]]
+                most = np.minimum(counts[u], counts[v]).sum(1, dtype=np.int64)
+                fine = (p + q) * most >= p * (n[u] + n[v])
+                found.append((cid[u[fine]], cid[v[fine]]))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (zip(*found, strict=True) if found else ((), ())))
+        pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    pairs = few.unionByName(all_).groupBy("token", "left", "right").applyInArrow(compare, "a long, b long").distinct()
+    pairs = materialize(pairs, "pairs")
+    discard(placed)
+    return pairs
+
+
+def link_classes(docs: DataFrame, classes: DataFrame, join: Join, block: int = BLOCK) -> DataFrame:
     """(id, component) of all classes (cid, n, gkey, bins, tokens, least) that link with another."""
     p, q = join.p, join.q
     groups = classes.groupBy("gkey").agg(F.min("cid").alias("gid"))
-    members = materialize(classes.select("cid", "gkey", "n").join(groups, "gkey").select("cid", "gid", "n"), "members")
+    members = materialize(classes.select("cid", "gkey").join(groups, "gkey").select("cid", "gid"), "members")
     heads = classes.join(members.where(F.col("cid") == F.col("gid")).select("cid"), "cid")
     postings = heads.select(F.explode(F.col("tokens").cast("array<bigint>")).alias("token"), F.col("cid").alias("gid"), F.col("n").cast("int").alias("n"))
     lengths = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     lists = materialize(postings.join(lengths, "token"), "lists")
-    own = members.join(members.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "gid")
-    own = own.select((-F.lit(1 << 40) - F.pmod(F.xxhash64("gid"), F.lit(1 << 61))).alias("token"), "cid", "n", "size")  # lists of their own: a clash only adds pairs
     short, long_ = lists.where(F.col("size") <= SHORT_LIST), lists.where(F.col("size") > SHORT_LIST)
     x, y = short.alias("x"), short.alias("y")
     fits = (F.least(F.col("x.n"), F.col("y.n")) * q >= F.greatest(F.col("x.n"), F.col("y.n")) * p) & (F.col("x.gid") < F.col("y.gid"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b"))
-    pairs = pairs.unionByName(_led(long_.select("token", "gid"), MASKS[:LEADERS], "gid")).distinct()
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct()
+    # the members of a group, and those of two large groups, are lists of their own; a clash of their names only adds pairs
+    sizes = members.groupBy("gid").agg(F.count(F.lit(1)).alias("m"))
+    sized = pairs.join(sizes.select(F.col("gid").alias("a"), F.col("m").alias("ma")), "a").join(sizes.select(F.col("gid").alias("b"), F.col("m").alias("mb")), "b")
+    sized = materialize(sized, "groups")
+    few = sized.where(F.col("ma") * F.col("mb") <= SHORT_LIST)
+    named = lambda sign, *c: sign * (F.lit(1 << 40) + F.pmod(F.xxhash64(*c), F.lit(1 << 61)))
+    many = sized.where(F.col("ma") * F.col("mb") > SHORT_LIST).select(named(1, "a", "b").alias("token"), F.explode(F.array("a", "b")).alias("gid"))
+    own = sizes.where(F.col("m") > 1).select(named(-1, "gid").alias("token"), "gid")
+    listed = long_.select("token", "gid").unionByName(many).unionByName(own).join(members, "gid").select("token", "cid")
+    listed = materialize(listed, "long")
     expand = lambda s: members.select(F.col("gid").alias(s), F.col("cid").alias(f"{s}_cid"))
-    pairs = pairs.join(expand("a"), "a").join(expand("b"), "b").select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"))
+    pairs = few.join(expand("a"), "a").join(expand("b"), "b").select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"))
     verifier = _Verifier(docs, classes, join)
-    long_own = materialize(long_.select("token", "gid").join(members, "gid").select("token", "cid", "n").unionByName(own.select("token", "cid", "n")), "long")
-    pairs = materialize(verifier.likely(pairs.unionByName(_led(long_own.where(F.col("token") < 0), MASKS[:LEADERS]))), "pairs")
-    verifier.gather(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).unionByName(long_own.select("cid")))
+    ordered = pairs.unionByName(_led(listed)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialize(verifier.likely(ordered), "pairs")
+    discard(lists, members, sized)
+    verifier.gather(pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(listed.select("cid")))
     links = materialize(verifier.links(pairs), "links")
-    if long_own.isEmpty():
-        return components(links)
-    before = None
-    for turn in range(1, 1 + len(MASKS)):
-        labels = components(links)
-        placed = long_own.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        placed = materialize(placed, "placed")
-        sizes = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
-        main = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
-        main = main.select("token", F.col("top.component").alias("main"), "all", (F.col("all") - F.col("top.size")).alias("few"))
-        main = materialize(main, "main")
-        work = main.agg(F.sum(F.col("few") * F.col("all")).alias("w"), F.sum("all").alias("all")).first()
-        if not work["all"]:
-            return labels
-        open_ = placed.join(main, "token")
-        last = work["w"] <= SHORT_LIST * work["all"] + 20_000 or turn == len(MASKS) or before is not None and work["w"] > 0.7 * before
-        before = work["w"]
-        few = open_.where(F.col("component") != F.col("main"))
-        comp = placed.select("cid", "component").distinct()
-        if last:
-            x, y = few.alias("x"), open_.alias("y")
-            fits = (F.least(F.col("x.n"), F.col("y.n")) * q >= F.greatest(F.col("x.n"), F.col("y.n")) * p) & (F.col("x.component") != F.col("y.component"))
-            pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-        else:
-            masks = tuple(m ^ (turn * 0x1234567) for m in MASKS)
-            pairs = _led(open_.select("token", "cid"), masks).unionByName(_led_few(few, open_, masks)).distinct()
-            pairs = pairs.join(comp.select(F.col("cid").alias("a"), F.col("component").alias("ca")), "a").join(comp.select(F.col("cid").alias("b"), F.col("component").alias("cb")), "b").where(F.col("ca") != F.col("cb")).select("a", "b")
-        links = materialize(links.unionByName(verifier.links(materialize(verifier.likely(pairs), "pairs"))).distinct(), "links")
-        if last:
-            return components(links)
-    raise AssertionError("the last turn returns")
-
-
-def _led_few(few: DataFrame, all_: DataFrame, masks: tuple[int, ...]) -> DataFrame:
-    """Like _led, with leaders from few and members from all_."""
-    leaders = few.groupBy("token").agg(*(F.min(F.col("cid").bitwiseXOR(F.lit(m))).alias(f"l{i}") for i, m in enumerate(masks)))
-    each = F.explode(F.array_distinct(F.array(*(F.col(f"l{i}").bitwiseXOR(F.lit(m)) for i, m in enumerate(masks)))))
-    return all_.select("token", "cid").join(leaders, "token").select(each.alias("a"), F.col("cid").alias("b")).where(F.col("a") != F.col("b"))
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    discard(pairs)
+    labels = components(links)
+    pairs = _across(listed, labels, classes, join, block)
+    discard(listed)
+    if pairs.isEmpty():
+        discard(pairs, links, verifier.sets)
+        return labels
+    more = materialize(links.unionByName(verifier.links(pairs)), "links")
+    discard(pairs, links, labels, verifier.sets)
+    labels = components(more)
+    discard(more)
+    return labels
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of all docs (doc_id, text): links join texts whose shingle sets have a Jaccard index of percent / 100 or more.
 
     Words are runs without ASCII white space, with A-Z lower-cased. A text of fewer than k words is one shingle; null, empty
     and blank texts have none and link with nothing. component_id is the smallest doc_id reachable by links, the own one
     included; null ids take part in links but name a component only if it has no other. Repeated rows give a row each.
     Classes are known by 64-bit hashes of their sets, shingles by 64-bit hashes of their words."""
-    signed, named = _components(docs, Join(k, percent))
+    signed, named = _components(docs, Join(k, percent), block)
     out = signed.select("doc_id", "cid", "n").join(named.select("cid", F.col("least.doc_id").alias("component_id")), "cid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _components(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
+def _components(docs: DataFrame, join: Join, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The signatures of docs, and of each class (cid) the least row of its component: no_id, doc_id and mark, a hash of the text."""
     docs = docs.select("doc_id", "text")
     signed = materialize(signatures(docs, join), "signatures")
@@ -319,10 +371,13 @@ def _components(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("least")
     classes = signed.where(F.col("cid").isNotNull()).groupBy("cid").agg(least, F.min("n").alias("n"), F.min("gkey").alias("gkey"), F.min("bins").alias("bins"), F.min("tokens").alias("tokens"))
     classes = materialize(classes, "classes")
-    labels = link_classes(docs, classes, join)
+    labels = link_classes(docs, classes, join, block)
     placed = classes.select("cid", "least").join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     named = placed.groupBy("component").agg(F.min("least").alias("least"))
-    return signed, materialize(placed.select("cid", "component").join(named, "component").select("cid", "least"), "named")
+    named = materialize(placed.select("cid", "component").join(named, "component").select("cid", "least"), "named")
+    rows = materialize(signed.select("doc_id", "mark", "cid", "n"), "rows")
+    discard(labels, classes, signed)
+    return rows, named
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -107,8 +107,10 @@ def _family(n=60, seed=5):
 def test_ngram_join_is_brute_force(spark, docs, odd, none, k, p):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()] + [(r[0], r[1]) for r in ODD] + [(d + 10_000, t) for d, t in _family()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = Counter(tuple(r) for r in ngram_join.near_duplicates(df, k, p).select("doc_id", "n_shingles", "component_id").collect())
-    assert got == _brute(rows, k, p)
+    want = _brute(rows, k, p)
+    for block in (ngram_join.BLOCK, 16):
+        got = Counter(tuple(r) for r in ngram_join.near_duplicates(df, k, p, block).select("doc_id", "n_shingles", "component_id").collect())
+        assert got == want
 
 
 def test_ngram_join_on_an_empty_table(none):
