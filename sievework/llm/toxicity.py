@@ -9,37 +9,45 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import materialize, threshold_for
+from sievework.llm.common import discard, materialize
+from sievework.llm.shingles import parts
 
 #: About so many labelled rows are fitted, drawn by a hash of doc_id; all of them if there are fewer.
 TRAIN_ROWS = 12_000
-#: Words that fewer of the fitted texts hold are no features; of the others at most MOST_WORDS, those held most.
-LEAST_TEXTS = 5
-MOST_WORDS = 1 << 16
-#: Grades: 0 clean, 1 toxic, 2 toxic in a text of low quality.
+#: Grades of severity: 0 fine, 1 of low quality, 2 toxic.
 GRADES = 3
+TOXIC = 2
+#: A word is a feature if its likelihood ratio over the grades is one that chance would give any of all words this often.
+CHANCE = 0.05
 PENALTY = 1e-4
 STEPS = 400
 #: A text is rejected if it is more likely toxic than not.
 REJECT = 0.5
-KEEP = 300_000
-_EDGES = b".,;:!?\"'()[]{}*#$%&|<>-_"
+#: Bytes of text that are looked at together.
+PART = 4 << 20
+_EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_"
 
 
-def word(chunk: bytes) -> bytes:
-    return chunk.lower().strip(_EDGES)
+def _stems(distinct: pa.Array) -> pa.Array:
+    """Words without punctuation at their edges, A-Z lower-cased; empty if nothing else is there."""
+    return pc.utf8_trim(pc.ascii_lower(distinct), characters=_EDGES)
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return column.cast(pa.binary()).fill_null(b"").to_pylist()
+def _held(own, stems: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each text and number of a stem once: which stems (null is none) the texts hold."""
+    number = stems.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[own.codes]
+    rows = own.rows[number >= 0]
+    both = np.unique(np.column_stack([rows, number[number >= 0]]), axis=0) if len(rows) else np.zeros((0, 2), np.int64)
+    return both[:, 0], both[:, 1]
 
 
 @dataclass
 class Model:
-    words: dict[bytes, int]
+    words: list[str]
     weights: np.ndarray
     thresholds: np.ndarray
 
@@ -48,12 +56,11 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - margin[:, None], -500, 500)))
 
 
-def solve(rows: list[np.ndarray], grades: np.ndarray, n_words: int, steps: int = STEPS, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of greatest penalised likelihood, by Adam on all rows at once.
+def solve(flat: np.ndarray, row: np.ndarray, grades: np.ndarray, n_words: int, steps: int = STEPS, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of greatest penalised likelihood, by Adam on all rows at once; row holds feature flat.
 
     Thresholds are the first one and positive gaps, so they stay in order."""
-    flat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    rows = grades
     gaps = GRADES - 1
     x = np.concatenate([np.zeros(n_words), [1.0], np.zeros(gaps - 1)])
     first, second = np.zeros_like(x), np.zeros_like(x)
@@ -75,61 +82,65 @@ def solve(rows: list[np.ndarray], grades: np.ndarray, n_words: int, steps: int =
     return x[:n_words], np.cumsum(np.concatenate([x[n_words : n_words + 1], np.exp(x[n_words + 1 :])]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+def ratio(held: list[Column], totals: list[int]) -> Column:
+    """Twice the log likelihood ratio of a word's counts in the grades against one share in all of them."""
+    n, all_ = sum(held, F.lit(0)), sum(totals)
+    part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(F.lit(0.0))
+    return 2 * sum((part(h, n * t / all_) + part(t - h, (all_ - n) * t / all_) for h, t in zip(held, totals, strict=True) if t), F.lit(0.0))
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, chance: float = CHANCE) -> Model:
     """The model of docs (doc_id, text) with labels (doc_id, toxic, quality); rows without a toxic label or an id are left out.
 
-    If a document has several labels, the most severe counts. Without labels the model has no words and rejects nothing."""
-    grade = F.when(F.col("toxic") == 0, 0).when(F.coalesce("quality", F.lit(1)) == 0, 2).otherwise(1)
-    graded = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(grade).alias("grade"))
+    If a document has several labels, the most severe counts; a null quality is no low one. Of equal rows one is fitted. Of all words of the drawn rows
+    those are features whose counts in the grades differ by more than chance: the others would drown them in long texts.
+    Without labels the model has no words and rejects nothing."""
+    grade = F.when(F.col("toxic") != 0, TOXIC).when(F.coalesce("quality", F.lit(1)) == 0, 1).otherwise(0)
+    graded = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(grade).cast("int").alias("grade"))
     n = graded.count()
+    nothing = Model([], np.zeros(0), np.full(GRADES - 1, np.inf))
     if not n:
-        return Model({}, np.zeros(0), np.full(GRADES - 1, np.inf))
+        return nothing
     drawn = graded.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1.0, train_rows / n) * 1_000_000)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [sorted({word(c) for c in set(t.split())} - {b""}) for t in _texts(batch.column("text"))]
-            yield pa.record_batch([batch.column("grade"), pa.array(own, pa.list_(pa.binary()))], names=["grade", "words"])
+            for a, b, own in parts(batch.column(1), PART):
+                encoded = _stems(own.distinct).dictionary_encode()
+                rows, stems = _held(own, encoded.indices)
+                starts = np.searchsorted(rows, np.arange(b - a + 1)).astype(np.int32)
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(starts), encoded.dictionary.take(pa.array(stems)).cast(pa.string()))], names=["grade", "words"])
 
     # the drawn labels are bounded by train_rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select(F.col("grade").cast("int").alias("grade"), "text")
-    rows = materialize(rows.mapInArrow(distinct, "grade int, words array<binary>"), "graded")
-    held = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TEXTS)
-    held = materialize(held, "features")
-    words = {w: i for i, w in enumerate(sorted(held.where(F.col("n") >= threshold_for(held, "n", MOST_WORDS)).toArrow().column("word").to_pylist()))}
-    sent = docs.sparkSession.sparkContext.broadcast(words)
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = sent.value.get
-        for batch in batches:
-            own = [[i for i in map(get, ws) if i is not None] for ws in batch.column("words").to_pylist()]
-            yield pa.record_batch([batch.column("grade"), pa.array(own, pa.list_(pa.int32()))], names=["grade", "own"])
-
-    found = rows.mapInArrow(coded, "grade int, own array<int>").toArrow()
-    if not found.num_rows:
-        return Model({}, np.zeros(0), np.full(GRADES - 1, np.inf))
-    weights, thresholds = solve([np.array(x, np.int64) for x in found.column("own").to_pylist()], found.column("grade").to_numpy().astype(np.int64), len(words))
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id", "text"])
+    rows = materialize(rows.select("grade", "text").mapInArrow(distinct, "grade int, words array<string>"), "graded")
+    sums = {r["grade"]: r["n"] for r in rows.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
+    totals = [sums.get(g, 0) for g in range(GRADES)]
+    if not sum(totals):
+        discard(rows)
+        return nothing
+    each = [F.count(F.when(F.col("grade") == g, 1)).alias(f"g{g}") for g in range(GRADES)]
+    held = rows.select("grade", F.explode("words").alias("word")).where(F.col("word") != "").groupBy("word").agg(*each)
+    held = materialize(held, "words")
+    kinds = held.count()
+    words = sorted(r["word"] for r in held.where(ratio([F.col(f"g{g}") for g in range(GRADES)], totals) > 2 * np.log(max(1, kinds) / chance).item()).select("word").collect())
+    known = F.create_map(*(F.lit(x) for i, w in enumerate(words) for x in (w, i))) if words else F.create_map().cast("map<string,int>")
+    found = rows.select("grade", F.array_compact(F.transform("words", lambda w: F.try_element_at(known, w))).alias("own")).toArrow().combine_chunks()
+    discard(rows, held)
+    lists = found.column("own").combine_chunks()
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    weights, thresholds = solve(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), row, found.column("grade").to_numpy().astype(np.int64), len(words))
     return Model(words, weights, thresholds)
 
 
-class _Margins:
-    """Sums of weights of texts, with a cache of runs without white space."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.cache: dict[bytes, int] = {}
-
-    def __call__(self, texts: list[bytes]) -> np.ndarray:
-        words, weights, out = self.model.words, self.model.weights, np.zeros(len(texts))
-        for i, text in enumerate(texts):
-            chunks = set(text.split())
-            if len(self.cache) > KEEP:
-                self.cache.clear()
-            self.cache.update((c, words.get(word(c), -1)) for c in chunks.difference(self.cache))
-            held = {self.cache[c] for c in chunks} - {-1}
-            if held:
-                out[i] = weights[sorted(held)].sum()
-        return out
+def _margins(model: Model, texts: pa.Array) -> np.ndarray:
+    """The sum of the weights of each text's words; every word counts once."""
+    out = np.zeros(len(texts))
+    known = pa.array(model.words, pa.large_string())
+    for a, b, own in parts(texts, PART):
+        rows, features = _held(own, pc.index_in(_stems(own.distinct), value_set=known))
+        out[a:b] = np.bincount(rows, model.weights[features], b - a)
+    return out
 
 
 def judge(docs: DataFrame, model: Model) -> DataFrame:
@@ -137,14 +148,12 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
 
     Every word of the whole text counts once. Null and empty texts hold no words and are judged by the thresholds alone,
     like a text of unknown words. Rows stand by themselves; other columns are ignored."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        margins = _Margins(sent.value)
         for batch in batches:
-            over = sent.value.at_least(margins(_texts(batch.column("text"))))
+            over = model.at_least(_margins(model, batch.column("text")))
             exact = -np.diff(over, axis=1, prepend=1.0, append=0.0)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(over[:, 0]), pa.array(over.sum(1)), pa.array(exact.argmax(1).astype(np.int32)), pa.array(over[:, 0] >= REJECT)], names=["doc_id", "p_toxic", "severity", "grade", "rejected"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(over[:, TOXIC - 1]), pa.array(over.sum(1)), pa.array(exact.argmax(1).astype(np.int32)), pa.array(over[:, TOXIC - 1] >= REJECT)], names=["doc_id", "p_toxic", "severity", "grade", "rejected"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, p_toxic double, severity double, grade int, rejected boolean")
@@ -152,13 +161,11 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """docs without the rows that `judge` rejects, with all their columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        margins = _Margins(sent.value)
         for batch in batches:
-            over = sent.value.at_least(margins(_texts(batch.column(at))))
-            yield batch.filter(pa.array(over[:, 0] < REJECT))
+            over = model.at_least(_margins(model, batch.column(at)))
+            yield batch.filter(pa.array(over[:, TOXIC - 1] < REJECT))
 
     return docs.mapInArrow(run, docs.schema)
