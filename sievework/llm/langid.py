@@ -2,110 +2,151 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The model learns from about so many texts of each language, drawn by a hash of the text, whatever the corpus holds.
+from sievework.llm.shingles import hashes, mix, parts
+
+#: The model learns from about so many different texts of each language, drawn by a hash of the text, whatever the corpus holds.
 TRAIN_TEXTS = 1000
-#: A word seen less often in training counts as unseen; its n-grams are learned all the same.
-LEAST_COUNT = 2
 LONGEST_GRAM = 5
 SMOOTHING = 0.5
-#: Most distinct runs whose scores a Python worker keeps.
-KEEP = 200_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Bytes of text that are looked at together.
+PART = 4 << 20
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def letters(distinct: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The runs of letters (Unicode category L) of lower-cased words one after the other, and where each word's begin."""
+    lists = pc.ascii_split_whitespace(pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(distinct), r"\P{L}+", " ")))
+    flat, starts = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    return flat.filter(pa.array(real)), np.concatenate([[0], np.cumsum(real)])[starts - starts[0]]
+
+
+def grams(words: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the character n-grams of words with a mark before and after each, and the word of each key."""
+    own = [f"\x02{w}\x03" for w in words.to_pylist()]
+    points = np.frombuffer("".join(own).encode("utf-32-le"), "<u4").astype(np.uint64)
+    lengths = np.fromiter(map(len, own), np.int64, len(own))
+    word = np.repeat(np.arange(len(own)), lengths)
+    n = max(0, len(points) - size + 1)
+    inside = word[:n] == word[size - 1 : size - 1 + n]
+    keys = np.full(n, np.uint64(size))
+    for i in range(size):
+        keys = mix(keys * _BASE ^ points[i : n + i])
+    return keys[inside], word[:n][inside]
+
 
+def _logs(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the log frequency of each by language."""
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    table = np.column_stack([np.bincount(inverse, counts[:, i], len(distinct)) for i in range(counts.shape[1])])
+    return distinct, np.log((table + SMOOTHING) / (table.sum(0) + SMOOTHING * max(1, len(distinct)))).astype(np.float32)
 
-def _grams(word: str, n: int) -> list[str]:
-    word = f"\x02{word}\x03"
-    return [word[i : i + n] for i in range(len(word) - n + 1)]
+
+def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where keys are in a table, and whether they are there."""
+    if not len(table[0]):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+    return at, table[0][at] == keys
 
 
 @dataclass
 class Model:
-    """Rows of log frequencies by language; words and n-grams know theirs by number."""
+    """Log frequencies by language of words (levels[0]) and of n-grams of each size, by the hash of either."""
 
     langs: list[str]
-    words: dict[str, int]
-    grams: dict[str, int]
-    table: np.ndarray
+    levels: list[tuple[np.ndarray, np.ndarray]]
 
     @classmethod
-    def fit(cls, counts: dict[tuple[str, str], int]) -> Model:
-        """From counts of (lang, word)."""
-        langs = sorted({lang for lang, _ in counts})
-        words = {lang: Counter() for lang in langs}
-        grams = {lang: [Counter() for _ in range(LONGEST_GRAM + 1)] for lang in langs}
-        for (lang, word), n in counts.items():
-            words[lang][word] += n
-            for size in range(1, LONGEST_GRAM + 1):
-                own = grams[lang][size]
-                for g in _grams(word, size):
-                    own[g] += n
-
-        def logs(own: list[Counter], least: int) -> tuple[list[str], np.ndarray]:
-            keys = sorted(set().union(*own))
-            table = np.array([[c[k] for k in keys] for c in own], np.float64).T.reshape(len(keys), len(own))
-            fine = table.sum(1) >= least
-            rows = np.log((table + SMOOTHING) / (table.sum(0) + SMOOTHING * max(1, len(keys))))
-            return [k for k, f in zip(keys, fine, strict=True) if f], rows[fine].astype(np.float32)
-
-        parts = [logs([words[lang] for lang in langs], LEAST_COUNT), *(logs([grams[lang][size] for lang in langs], 1) for size in range(1, LONGEST_GRAM + 1))]
-        known, first = parts[0][0], len(parts[0][0])
-        # n-grams of different sizes are different keys
-        return cls(langs, {w: i for i, w in enumerate(known)}, {g: first + i for i, g in enumerate(g for keys, _ in parts[1:] for g in keys)}, np.concatenate([t for _, t in parts]))
-
-    def word(self, word: str) -> np.ndarray:
-        """Log scores of one word: its own, or those of its longest n-grams of which one is known."""
-        own = self.words.get(word)
-        if own is not None:
-            return self.table[own].astype(np.float64)
+    def fit(cls, langs: pa.Array, words: pa.Array, n: np.ndarray) -> Model:
+        """From counts n of (lang, word), each pair once."""
+        names = sorted(set(langs.to_pylist()))
+        encoded = words.dictionary_encode()
+        counts = np.zeros((len(encoded.dictionary), len(names)))
+        counts[encoded.indices.to_numpy(), pc.index_in(langs, value_set=pa.array(names, langs.type)).to_numpy()] = n
+        levels = [_logs(hashes(encoded.dictionary), counts)]
+        for size in range(1, LONGEST_GRAM + 1):
+            keys, word = grams(encoded.dictionary, size)
+            levels.append(_logs(keys, counts[word]))
+        return cls(names, levels)
+
+    def words(self, words: pa.Array) -> np.ndarray:
+        """Log scores of words: their own, or those of their longest n-grams of which one is known."""
+        out = np.zeros((len(words), len(self.langs)))
+        at, known = _find(self.levels[0], hashes(words))
+        out[known] = self.levels[0][1][at[known]]
+        left = np.flatnonzero(~known)
         for size in range(LONGEST_GRAM, 0, -1):
-            known = [g for g in map(self.grams.get, _grams(word, size)) if g is not None]
-            if known:
-                return self.table[known].sum(0, dtype=np.float64) / size
-        return np.zeros(len(self.langs))
-
-    def run(self, chunk: bytes) -> np.ndarray:
-        """Log scores of a run without white space, and at the end 1 if it has a letter."""
-        found = _LETTERS.findall(chunk.decode("utf-8", "replace").lower())
-        return np.append(sum(map(self.word, found), np.zeros(len(self.langs))), float(bool(found)))
-
-
-def _texts(column: pa.Array) -> list[bytes]:
-    return column.cast(pa.binary()).fill_null(b"").to_pylist()
+            if not len(left):
+                break
+            keys, word = grams(words.take(pa.array(left)), size)
+            at, known = _find(self.levels[size], keys)
+            word, rows = word[known], self.levels[size][1][at[known]]
+            for i in range(len(self.langs)):
+                out[left, i] += np.bincount(word, rows[:, i], len(left)) / size
+            left = left[np.bincount(word, minlength=len(left)) == 0]
+        return out
 
 
 def fit(labelled: DataFrame, train_texts: int = TRAIN_TEXTS) -> Model:
-    """The model of labelled (text, lang): about train_texts texts of each language; rows with a null are left out."""
+    """The model of labelled (text, lang): about train_texts different texts of each language; rows with a null are left out.
+
+    Copies of a text count once, so no group of them makes up the sample. The driver holds a row for each language."""
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return Model([], {}, {}, np.zeros((0, 0), np.float32))
-    share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1.0, train_texts / n))) for lang, n in sizes.items()))
-    drawn = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"))
+    share = sizes.select(F.col("lang").alias("_lang"), (F.lit(train_texts) / F.col("n") * 1_000_000).alias("_share"))
+    drawn = labelled.join(F.broadcast(share), F.col("lang") == F.col("_lang")).where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("_share"))
+    drawn = drawn.select("lang", "text").dropDuplicates(["lang", "text"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Counter[bytes]] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
-                found.setdefault(lang, Counter()).update(text.split())
-        for lang, chunks in found.items():
-            words: Counter[str] = Counter()
-            for chunk, n in chunks.items():
-                for w in _LETTERS.findall(chunk.decode("utf-8", "replace").lower()):
-                    words[w] += n
-            yield pa.record_batch({"lang": pa.array([lang] * len(words), pa.string()), "word": pa.array(words.keys(), pa.string()), "n": pa.array(words.values(), pa.int64())})
-
-    rows = drawn.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
-    return Model.fit(dict(zip(zip(rows.column("lang").to_pylist(), rows.column("word").to_pylist(), strict=True), rows.column("n").to_pylist(), strict=True)))
+            for a, b, own in parts(batch.column(1), PART):
+                flat, starts = letters(own.distinct)
+                langs = batch.column(0).slice(a, b - a).dictionary_encode()
+                lang = langs.indices.to_numpy()[own.rows]
+                lengths = np.diff(starts)[own.codes]
+                at = np.repeat(starts[own.codes] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum()) if len(lengths) else np.zeros(0, np.int64)
+                encoded = flat.dictionary_encode()
+                word = encoded.indices.to_numpy()[at].astype(np.int64)
+                both, n = np.unique(np.repeat(lang, lengths).astype(np.int64) * len(encoded.dictionary) + word, return_counts=True)
+                if len(both):
+                    of = langs.dictionary.take(pa.array(both // len(encoded.dictionary)))
+                    yield pa.record_batch([of.cast(pa.string()), encoded.dictionary.take(pa.array(both % len(encoded.dictionary))).cast(pa.string()), pa.array(n)], names=["lang", "word", "n"])
+
+    rows = drawn.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().combine_chunks()
+    if not rows.num_rows:
+        return Model([], [])
+    lang, word, n = (rows.column(c).combine_chunks() for c in ("lang", "word", "n"))
+    return Model.fit(lang, word, n.to_numpy())
+
+
+def _guess(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The language of each text, and its share of the likelihoods."""
+    names, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
+    for a, b, own in parts(texts, PART):
+        flat, starts = letters(own.distinct)
+        if not len(flat) or not model.langs:
+            continue
+        encoded = flat.dictionary_encode()
+        by_word = model.words(encoded.dictionary)[encoded.indices.to_numpy()]
+        chunk = np.repeat(np.arange(len(own.distinct)), np.diff(starts))
+        rows, some = own.rows, np.diff(starts)[own.codes] > 0
+        total = np.column_stack([np.bincount(rows, np.bincount(chunk, by_word[:, i], len(own.distinct))[own.codes], b - a) for i in range(len(model.langs))])
+        best = total.argmax(1)
+        share = 1 / np.exp(np.maximum(total - total[np.arange(b - a), best][:, None], -700)).sum(1)
+        read = np.flatnonzero(np.bincount(rows, some, b - a) > 0)
+        names[a + read] = np.array(model.langs, object)[best[read]]
+        scores[a + read] = share[read]
+    return names.tolist(), scores
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -120,29 +161,8 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     schema = ", ".join([*(f"{n} {t}" for n, t in docs.dtypes[:-1]), "lang_pred string, score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        width = len(own.langs) + 1
-        at: dict[bytes, int] = {}
-        table = np.zeros((1024, width))
         for batch in batches:
-            langs, scores = [], []
-            for text in _texts(batch.column("_text")):
-                chunks = text.split()
-                if len(at) > KEEP:
-                    at.clear()
-                for chunk in set(chunks).difference(at):
-                    if len(at) == len(table):
-                        table = np.concatenate([table, np.zeros_like(table)])
-                    table[len(at)] = own.run(chunk)
-                    at[chunk] = len(at)
-                total = table[[at[c] for c in chunks]].sum(0) if chunks else np.zeros(width)
-                if width == 1 or not total[-1]:
-                    langs.append("und")
-                    scores.append(0.0)
-                else:
-                    best = int(total[:-1].argmax())
-                    langs.append(own.langs[best])
-                    scores.append(float(1 / np.exp(np.maximum(total[:-1] - total[best], -700)).sum()))
+            langs, scores = _guess(sent.value, batch.column("_text"))
             yield pa.record_batch([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema).withColumnsRenamed(dict(zip(names, keep, strict=True)))

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 
 from sievework.llm import bpe, langid, licenses, mixing, ngram_join, ppm, quality, queries, toxicity, urlfilter, vecdedup
 
@@ -65,6 +66,46 @@ def test_langid_on_held_out_texts(spark, odd, none):
     assert {r["lang_pred"] for r in langid.predict(odd, langid.fit(none)).collect()} == {"und"}
 
 
+def _lang_scores(counts, langs, text):
+    """Log scores of a text by the method in plain Python: counts of (lang, word)."""
+    grams = lambda w, n: [f"\x02{w}\x03"[i : i + n] for i in range(len(w) + 3 - n)]
+    levels = [Counter(counts)]
+    for n in range(1, langid.LONGEST_GRAM + 1):
+        levels.append(Counter())
+        for (lang, w), c in counts.items():
+            for g in grams(w, n):
+                levels[n][lang, g] += c
+    kinds = [len({k for _, k in level}) for level in levels]
+    sums = [{lang: sum(c for (x, _), c in level.items() if x == lang) for lang in langs} for level in levels]
+    log = lambda n, lang, k: math.log((levels[n][lang, k] + 0.5) / (sums[n][lang] + 0.5 * kinds[n]))
+    held = [{k for _, k in level} for level in levels]
+    total = dict.fromkeys(langs, 0.0)
+    for w in regex.findall(r"\p{L}+", text.lower()):
+        if w in held[0]:
+            own = [(0, w)]
+        else:
+            own = next(([(n, g) for g in grams(w, n) if g in held[n]] for n in range(langid.LONGEST_GRAM, 0, -1) if held[n].intersection(grams(w, n))), [])
+        for lang in langs:
+            total[lang] += sum(log(n, lang, k) / max(n, 1) for n, k in own)
+    return total
+
+
+def test_langid_is_the_method_in_plain_python(spark):
+    taught = [("en", "the cat and the dog aren't here"), ("en", "THE end of it"), ("de", "der Hund und die Stra\u00dfe \u00fcber"), ("fr", "le chat \u00e9tait l\u00e0")]
+    asked = ["the hound", "Stra\u00dfen und \u00dcber", "chats l\u00e0-bas", "xyzzy qqq", "\u4e2d\u6587", "\u00bd \u00b2 12", "1\u00bd", None, "", "the" + "x" * 50, "der the le"]
+    model = langid.fit(spark.createDataFrame(taught, "lang string, text string"))
+    got = langid.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()
+    counts = Counter((lang, w) for lang, t in taught for w in regex.findall(r"\p{L}+", t.lower()))
+    for r in got:
+        text = asked[r["doc_id"]] or ""
+        if not regex.search(r"\p{L}", text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        want = _lang_scores(counts, model.langs, text)
+        best = max(sorted(want), key=lambda x: round(want[x], 5))
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(1 / sum(math.exp(x - want[best]) for x in want.values()), rel=1e-4)
+
+
 def _shingles(text, k):
     w = (text or "").encode().lower().split()
     m = min(k, len(w))
