@@ -124,8 +124,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, chance
     held = materialize(held, "words")
     kinds = held.count()
     words = sorted(r["word"] for r in held.where(ratio([F.col(f"g{g}") for g in range(GRADES)], totals) > 2 * np.log(max(1, kinds) / chance).item()).select("word").collect())
-    known = F.create_map(*(F.lit(x) for i, w in enumerate(words) for x in (w, i))) if words else F.create_map().cast("map<string,int>")
-    found = rows.select("grade", F.array_compact(F.transform("words", lambda w: F.try_element_at(known, w))).alias("own")).toArrow().combine_chunks()
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(words, pa.string())
+        for batch in batches:
+            flat = pc.index_in(batch.column(1).flatten(), value_set=known)
+            text = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            real = flat.is_valid().to_numpy(zero_copy_only=False)
+            starts = np.searchsorted(text[real], np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(starts), flat.drop_null())], names=["grade", "own"])
+
+    found = rows.mapInArrow(coded, "grade int, own array<int>").toArrow().combine_chunks()
     discard(rows, held)
     lists = found.column("own").combine_chunks()
     row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
