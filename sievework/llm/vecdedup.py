@@ -238,11 +238,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, shard: int = SHARD,
 
 
 def audit(vectors: DataFrame, found: DataFrame, least: float = 0.98, queries: int = 200) -> float:
-    """The share of true links of about `queries` vectors, by brute force over all rows, that found's n_links has."""
+    """The share of true links of about `queries` vectors, by brute force over all rows, that found's n_links has.
+
+    Rows without an id are not asked for, but are found."""
     rows = _valid(vectors).where("fine")
     n = max(1, rows.count())
-    asked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) < queries).select("vec_id", "label", "raw").toPandas()
-    sent = vectors.sparkSession.sparkContext.broadcast([(i, lab, np.array(r)) for i, lab, r in zip(asked["vec_id"], asked["label"], asked["raw"], strict=True)])
+    asked = rows.where(F.col("vec_id").isNotNull() & (F.pmod(F.xxhash64("vec_id"), F.lit(n)) < queries)).select("vec_id", "label", "raw").collect()
+    sent = vectors.sparkSession.sparkContext.broadcast([(r["vec_id"], r["label"], np.array(r["raw"])) for r in asked])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
