@@ -11,33 +11,38 @@ from __future__ import annotations
 import io
 import math
 import os
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import crc_mod, materialize, pack, slices, threshold_for, unpack
+from sievework.llm.common import crc_mod, discard, materialize, pack, threshold_for, unpack
+from sievework.llm.shingles import Words, parts
 
 #: Bytes of context; with the symbol they must fit a 64-bit number.
 ORDER = 5
 #: Last bytes of a context that say which part of the trie has it; nodes of shorter contexts are in every part.
 SUFFIX = 3
 #: Bytes of text that are scored together, and training tokens for each part of the trie; parts grow in number with the input.
-SLICE = 4 << 20
+SLICE = 3 << 20
 PART_TOKENS = 2_000_000
 #: Most words whose counts are broadcast; counts of the others are joined by a shuffle.
 HEAD_WORDS = 1 << 18
-#: Distinct words, or millions of bytes of counts, that a Python worker holds before it passes them on.
-KEEP = 200_000
+#: Bytes of text that are counted together, and distinct grams that a Python worker holds before it passes them on.
+COUNTED = 2 << 20
+MOST_HELD = 2_000_000
 #: No word holds it: it ends a text, both as a token and as a symbol, and pads the first contexts.
 END = b"\n"
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return column.cast(pa.binary()).fill_null(b"").to_pylist()
+def _plain(own: Words) -> list[bytes]:
+    """The texts as words parted by one space."""
+    lists = pa.LargeListArray.from_arrays(pa.array(own.starts), own.distinct.take(pa.array(own.codes)))
+    return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.large_binary()).to_pylist()
 
 
 def symbols(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,44 +67,41 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 def _grams(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def rows() -> Iterator[pa.RecordBatch]:
-            keys, counts = _merged(parts)
+            keys, counts = _merged(held)
             for at in range(0, len(keys), 200_000):
                 yield pa.record_batch({"gram": pa.array(keys[at : at + 200_000].view(np.int64)), "n": pa.array(counts[at : at + 200_000])})
 
         for batch in batches:
-            texts = _texts(batch.column(0))
-            sizes = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-            for a, b in slices(sizes, 2 << 20):
-                grams, begins, lengths = symbols([b" ".join(t.lower().split()) for t in texts[a:b]], order)
+            for _, _, own in parts(batch.column(0), COUNTED, True):
+                grams, begins, lengths = symbols(_plain(own), order)
                 inside = np.zeros(len(grams) + 1, np.int8)
                 np.add.at(inside, begins, 1)
                 np.add.at(inside, np.minimum(begins + lengths, len(grams)), -1)
                 keys, counts = np.unique(grams[np.cumsum(inside[:-1]).astype(bool)], return_counts=True)
-                parts.append((keys, counts.astype(np.int64)))
-                if len(parts) > 1 and sum(len(k) for k, _ in parts) > 2_000_000:
-                    parts = [_merged(parts)]
-                    if len(parts[0][0]) > 2_000_000:
+                held.append((keys, counts.astype(np.int64)))
+                if len(held) > 1 and sum(len(k) for k, _ in held) > MOST_HELD:
+                    held = [_merged(held)]
+                    if len(held[0][0]) > MOST_HELD:
                         yield from rows()
-                        parts = []
-        if parts:
+                        held = []
+            pa.default_memory_pool().release_unused()
+        if held:
             yield from rows()
 
     return run
 
 
-def gram_table(docs: DataFrame, order: int, text: str = "text") -> DataFrame:
-    """Counts of (context, symbol) of every order: columns depth, gram, n. Shorter contexts sum up the longer ones."""
+def gram_tables(docs: DataFrame, order: int, text: str = "text") -> list[DataFrame]:
+    """Counts of (context, symbol) of every order, a table each: columns depth, gram, n. Shorter contexts sum up the longer ones."""
     longest = docs.select(text).mapInArrow(_grams(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    level = materialize(longest.select(F.lit(order).alias("depth"), "gram", "n"), "grams")
-    out = level
+    levels = [materialize(longest.select(F.lit(order).alias("depth"), "gram", "n"), "grams")]
     for depth in range(order - 1, -1, -1):
         mask = (1 << 8 * (depth + 1)) - 1
-        level = materialize(level.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.sum("n").alias("n")).select(F.lit(depth).alias("depth"), "gram", "n"), "grams")
-        out = out.unionByName(level)
-    return out
+        levels.append(materialize(levels[-1].groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.sum("n").alias("n")).select(F.lit(depth).alias("depth"), "gram", "n"), "grams"))
+    return levels
 
 
 class Model:
@@ -231,21 +233,11 @@ def logs(nodes: DataFrame, asked: DataFrame, order: int, parts: int) -> DataFram
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter[bytes] = Counter()
-
-    def flush() -> pa.RecordBatch:
-        out = pa.record_batch({"word": pa.array(found.keys(), pa.binary()), "n": pa.array(found.values(), pa.int64())})
-        found.clear()
-        return out
-
     for batch in batches:
-        for t in _texts(batch.column(0)):
-            found.update(t.lower().split())
-            found[END] += 1
-            if len(found) > KEEP:
-                yield flush()
-    if found:
-        yield flush()
+        for _, _, own in parts(batch.column(0), SLICE, True):
+            counts = np.bincount(own.codes, minlength=len(own.distinct))
+            real = np.flatnonzero(counts)
+            yield pa.record_batch({"word": own.distinct.take(pa.array(real)).cast(pa.binary()), "n": pa.array(counts[real])})
 
 
 def score(docs: DataFrame, order: int = ORDER, head_words: int = HEAD_WORDS, held: tuple[int, int] = (7, 2)) -> DataFrame:
@@ -257,68 +249,61 @@ def score(docs: DataFrame, order: int = ORDER, head_words: int = HEAD_WORDS, hel
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.coalesce(crc_mod("doc_id", held[0]) == held[1], F.lit(False)).alias("held_out"))
     train = docs.where(~F.col("held_out"))
-    counts = materialize(train.select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    texts = train.count()
+    words = train.select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = materialize(words, "counts")
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tokens, kinds = int(sums["n"] or 0), int(sums["v"])
+    # every training text has one end, a token that no word equals
+    tokens, kinds = int(sums["n"] or 0) + texts, int(sums["v"]) + (texts > 0)
+    end = math.log10(texts + 1) if texts else None
     least = threshold_for(counts, "n", head_words)
-    top = counts.where(F.col("n") >= least).toArrow()
-    head = spark.sparkContext.broadcast((top.column("word").to_pylist(), top.column("n").to_pylist()))
-    nodes = gram_table(train, order)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // PART_TOKENS)
-    cached: dict = {}
+    top = counts.where(F.col("n") >= least).toArrow().combine_chunks()
+    head = spark.sparkContext.broadcast((pa.array(top.column("word").to_pylist(), pa.large_binary()), np.log10(top.column("n").to_numpy() + 1)))
+    levels = gram_tables(train, order)
+    nodes = reduce(DataFrame.unionByName, levels)
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // PART_TOKENS)
 
-    def known() -> dict[bytes, float]:
-        if not cached:
-            cached.update((w, math.log10(n + 1)) for w, n in zip(*head.value, strict=True))
-        return cached
+    def known(own: Words) -> np.ndarray:
+        """The number in the head of each distinct word, or -1."""
+        return pc.index_in(own.distinct.cast(pa.large_binary()), value_set=head.value[0]).fill_null(-1).to_numpy()
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        in_head = known()
         for batch in batches:
-            ids, marks, words, times = [], [], [], []
-            for doc_id, mark, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2)), strict=True):
-                own = Counter(w for w in t.lower().split() if w not in in_head)
-                ids += [doc_id] * len(own)
-                marks += [mark] * len(own)
-                words += own.keys()
-                times += own.values()
-                if len(words) > KEEP:
-                    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int64())], names=["doc_id", "mark", "word", "times"])
-                    ids, marks, words, times = [], [], [], []
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int64())], names=["doc_id", "mark", "word", "times"])
+            for a, b, own in parts(batch.column(2), SLICE, True):
+                out = (known(own) < 0)[own.codes]
+                both, times = np.unique(own.rows[out] * len(own.distinct) + own.codes[out], return_counts=True)
+                row, code = pa.array(both // max(1, len(own.distinct))), pa.array(both % max(1, len(own.distinct)))
+                ids, marks = (batch.column(i).slice(a, b - a).take(row) for i in (0, 1))
+                yield pa.record_batch([ids, marks, own.distinct.take(code).cast(pa.binary()), pa.array(times, pa.int64())], names=["doc_id", "mark", "word", "times"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Slices of texts: a row for each part of the trie that a slice asks, and one without a part that holds the texts."""
-        get = known().get
         for batch in batches:
-            n_tokens, n_known, base, plain = [], [], [], []
-            texts = _texts(batch.column("text"))
-            sizes = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-            for t in texts:
-                ws = t.lower().split()
-                sums = [x for x in map(get, [*ws, END]) if x is not None]
-                n_tokens.append(len(ws) + 1)
-                n_known.append(len(sums))
-                base.append(math.fsum(sums))
-                plain.append(b" ".join(ws))
-            columns = {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "mark": batch.column("mark"), "n_tokens": pa.array(n_tokens, pa.int64()), "head_known": pa.array(n_known, pa.int64()), "head_sum": pa.array(base, pa.float64()), "text": pa.array(plain, pa.large_binary())}
-            whole = pa.record_batch(columns)
-            for a, b in slices(sizes, SLICE):
+            for a, b, words in parts(batch.column("text"), SLICE, True):
+                at, rows = known(words)[words.codes], words.rows
+                fine = at >= 0
+                n_known = np.bincount(rows[fine], minlength=b - a) + (end is not None)
+                base = np.bincount(rows[fine], head.value[1][at[fine]], b - a) + (end or 0.0)
+                plain = _plain(words)
+                columns = {c: batch.column(c).slice(a, b - a) for c in ("doc_id", "held_out", "mark")}
+                columns |= {"n_tokens": pa.array(np.diff(words.starts) + 1), "head_known": pa.array(n_known.astype(np.int64)), "head_sum": pa.array(base), "text": pa.array(plain, pa.large_binary())}
+                whole = pa.record_batch(columns)
                 own = int.from_bytes(os.urandom(8), "little") >> 1
                 sink = io.BytesIO()
                 with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(whole.slice(a, b - a))
-                grams, part, _, _, _ = _by_part(plain[a:b], order, parts)
+                    out.write_batch(whole)
+                grams, part, _, _, _ = _by_part(plain, order, n_parts)
                 first = np.flatnonzero(np.diff(part, prepend=-1))
                 ends = np.append(first, len(part))[1:]
                 data = [pack(np.diff(grams[x:y], prepend=np.uint64(0))) for x, y in zip(first.tolist(), ends.tolist(), strict=True)]
                 yield pa.record_batch({"slice": pa.array([own] * (len(first) + 1), pa.int64()), "part": pa.array([None, *part[first].tolist()], pa.int64()), "size": pa.array([b - a, *(ends - first).tolist()], pa.int64()), "data": pa.array([sink.getvalue(), *data], pa.binary())})
+            pa.default_memory_pool().release_unused()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, answers in zip(batch.column("data"), batch.column("answers"), strict=True):
                 (rows,) = pa.ipc.open_stream(data.as_buffer()).read_all().to_batches()
-                _, _, place, begins, lengths = _by_part(rows.column("text").to_pylist(), order, parts)
+                _, _, place, begins, lengths = _by_part(rows.column("text").to_pylist(), order, n_parts)
                 found = sorted(answers.as_py(), key=lambda x: x["part"])
                 each = np.concatenate([unpack(x["logs"], x["size"], "<f4") for x in found]).astype(np.float64)
                 each = np.append(each[place], 0.0)
@@ -329,10 +314,11 @@ def score(docs: DataFrame, order: int = ORDER, head_words: int = HEAD_WORDS, hel
     tail = marked.select("doc_id", "mark", "text").mapInArrow(rare, "doc_id long, mark long, word binary, times long").join(counts.where(F.col("n") < least), "word")
     tail = tail.select("doc_id", "mark", F.lit(0).alias("same"), "times", (F.col("times") * F.log10(F.col("n") + 1)).alias("part"))
     pieces = materialize(marked.mapInArrow(cut, "slice long, part long, size long, data binary"), "slices")
-    answers = logs(nodes, pieces.where(F.col("part").isNotNull()), order, parts).groupBy("slice").agg(F.collect_list(F.struct("part", "size", "logs")).alias("answers"))
+    answers = logs(nodes, pieces.where(F.col("part").isNotNull()), order, n_parts).groupBy("slice").agg(F.collect_list(F.struct("part", "size", "logs")).alias("answers"))
     bodies = pieces.where(F.col("part").isNull()).select("slice", "data").join(answers, "slice")
     heads = bodies.select("data", "answers").mapInArrow(scored, "doc_id long, held_out boolean, mark long, n_tokens long, head_known long, head_sum double, score double")
     heads = materialize(heads, "scores")
+    discard(pieces, *levels)
     by_doc = heads.select("doc_id", "mark", F.lit(1).alias("same"), F.lit(0).cast("long").alias("times"), F.lit(0.0).alias("part")).unionByName(tail)
     by_doc = by_doc.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.sum("same").alias("same"), F.sum("times").alias("times"), F.sum("part").alias("part"))
     joined = heads.join(by_doc, heads["doc_id"].eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))

@@ -50,12 +50,15 @@ def words(texts: pa.Array) -> Words:
     return Words(encoded.dictionary, codes, starts)
 
 
-def parts(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int, Words]]:
-    """Slices (first row, row after the last, words) of an Arrow string column, of about most_bytes of text each."""
+def parts(texts: pa.Array, most_bytes: int, fold: bool = False) -> Iterator[tuple[int, int, Words]]:
+    """Slices (first row, row after the last, words) of an Arrow string column, of about most_bytes of text each.
+
+    With fold A-Z are lower-cased."""
     if len(texts):
         texts = texts.cast(pa.large_string()).fill_null("")
         for a, b in slices(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1], most_bytes):
-            yield a, b, words(texts.slice(a, b - a))
+            own = texts.slice(a, b - a)
+            yield a, b, words(pc.ascii_lower(own) if fold else own)
 
 
 def hashes(distinct: pa.Array) -> np.ndarray:
@@ -68,7 +71,7 @@ def shingle_sets(column: pa.Array, k: int, most_bytes: int = 2 << 20) -> Iterato
     """For each text of an Arrow string column, in order: its sorted distinct k-word shingles as 64-bit numbers, A-Z lower-cased.
 
     A text of fewer words is one shingle, without words it has none; null counts as empty."""
-    for _, _, own in parts(pc.ascii_lower(column), most_bytes):
+    for _, _, own in parts(column, most_bytes, True):
         hashed = hashes(own.distinct)[own.codes] if len(own.distinct) else np.zeros(0, np.uint64)
         n = max(0, len(hashed) - k + 1)
         grams = np.full(n, np.uint64(k))
