@@ -31,7 +31,7 @@ LEADERS = 8
 #: Members of a list that a task compares with as many others.
 BLOCK = 2048
 #: Bins of the counting filter.
-BINS = 64
+BINS = 128
 #: Bits that say which classes' sets are needed: so many for each class, at most MOST_BITS; a clash only keeps a set too many.
 CLASS_BITS = 16
 MOST_BITS = 1 << 28
@@ -255,6 +255,18 @@ class _Verifier:
         return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _bits(lists: pa.Array) -> np.ndarray:
+    """Lists of numbers as rows of bits, one for each number that at least two lists hold."""
+    encoded = lists.flatten().dictionary_encode()
+    number, row = encoded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    often = np.bincount(number, minlength=len(encoded.dictionary)) > 1
+    place = np.cumsum(often) - 1
+    number, row = place[number[often[number]]], row[often[number]]
+    out = np.zeros((len(lists), max(1, -(-int(often.sum()) // 64))), np.uint64)
+    np.bitwise_or.at(out, (row, number >> 6), np.uint64(1) << (number & 63).astype(np.uint64))
+    return out
+
+
 def _led(lists: DataFrame) -> DataFrame:
     """(a, b): the leaders of each token's list with its other members; each mask gives a leader."""
     leaders = lists.groupBy("token").agg(*(F.min(F.col("cid").bitwiseXOR(F.lit(m))).alias(f"l{i}") for i, m in enumerate(MASKS)))
@@ -266,7 +278,7 @@ def _across(lists: DataFrame, labels: DataFrame, classes: DataFrame, join: Join,
     """(a, b): all pairs of members of a list (token, cid) in different components that sizes and bins let link.
 
     Of any such pair one at least is outside the list's largest component; these few are dealt to blocks, all members to
-    others, and a task compares one block with another."""
+    others, and a task compares one block with another. A pair that shares several lists is given by the first of them."""
     p, q = join.p, join.q
     placed = lists.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     placed = materialize(placed, "placed")
@@ -274,10 +286,12 @@ def _across(lists: DataFrame, labels: DataFrame, classes: DataFrame, join: Join,
     main = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
     blocks = lambda c: F.ceil(c / block).cast("int")
     main = main.select("token", F.col("top.component").alias("main"), blocks(F.col("all") - F.col("top.size")).alias("lefts"), blocks(F.col("all")).alias("rights"))
-    every = placed.join(main, "token").join(classes.select("cid", "n", "bins"), "cid")
+    own = placed.groupBy("cid").agg(F.collect_set("token").alias("tokens"))
+    every = placed.join(main, "token").join(classes.select("cid", "n", "bins"), "cid").join(own, "cid")
+    every = every.withColumn("tokens", F.filter("tokens", lambda t: t < F.col("token")))
     deal = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
     range_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["token", "left", "right", "few", "cid", "n", "component", "bins"]
+    columns = ["token", "left", "right", "few", "cid", "n", "component", "bins", "tokens"]
     few = every.where(F.col("component") != F.col("main")).withColumns({"left": deal("lefts"), "few": F.lit(True)}).withColumn("right", range_("rights")).select(*columns)
     all_ = every.withColumns({"right": deal("rights"), "few": F.lit(False)}).withColumn("left", range_("lefts")).select(*columns)
 
@@ -286,6 +300,7 @@ def _across(lists: DataFrame, labels: DataFrame, classes: DataFrame, join: Join,
         x, y = np.flatnonzero(few), np.flatnonzero(~few)
         cid, n, component = (part.column(c).to_numpy() for c in ("cid", "n", "component"))
         counts = _counts(part.column("bins").to_pylist())
+        earlier = _bits(part.column("tokens").combine_chunks())
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(x), 32):
             own = x[at : at + 32]
@@ -293,6 +308,8 @@ def _across(lists: DataFrame, labels: DataFrame, classes: DataFrame, join: Join,
             i, j = np.nonzero(fits)
             for s in range(0, len(i), 1 << 16):
                 u, v = own[i[s : s + (1 << 16)]], y[j[s : s + (1 << 16)]]
+                here = ~(earlier[u] & earlier[v]).any(1)
+                u, v = u[here], v[here]
                 most = np.minimum(counts[u], counts[v]).sum(1, dtype=np.int64)
                 fine = (p + q) * most >= p * (n[u] + n[v])
                 found.append((cid[u[fine]], cid[v[fine]]))
