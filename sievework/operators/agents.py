@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import insort
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievework.functions import rules as R
 from sievework.functions.regex import any_found
-from sievework.operators.common import finding, points, present
+from sievework.operators.common import finding, folded, points, present
 
 
 def _named(tool: Column, words: tuple[str, ...]) -> Column:
@@ -36,16 +38,29 @@ def outside(path: Column, dirs: tuple[str, ...]) -> Column:
     return out
 
 
+def _bursts(calls: DataFrame, burst: int, window_ms: int) -> DataFrame:
+    """calls with _burst: whether this call and those before it by seq, not older than window_ms, are more than burst.
+
+    Times may fall, so no frame of a window holds these calls; but the burst latest times so far decide."""
+
+    def step(latest: list, at: int | None) -> tuple[bool]:
+        if at is None:
+            return (False,)
+        out = not burst or len(latest) >= burst and latest[-burst] >= at - window_ms
+        insort(latest, at)
+        del latest[:-burst]
+        return (out,)
+
+    return folded(calls, "session_id", "seq", F.col("timestamp_ms").cast("long"), "_burst boolean", list, step)
+
+
 def audit_calls(calls: DataFrame, dirs: tuple[str, ...] = (), domains: tuple[str, ...] = (), burst: int = 10, window_ms: int = 60_000) -> DataFrame:
     """calls (session_id, seq, tool_name, arguments map, timestamp_ms, depth) with findings, risk_score and action.
 
     A call's history is what came before it in its session by seq. Bursts count calls of the last window_ms by time among
-    those, whatever their tool; timestamps may tie but not fall."""
+    those, whatever their tool; times may tie and fall, and a call without one is no burst."""
     before = W.partitionBy("session_id").orderBy("seq")
-    span = W.partitionBy("session_id").orderBy("timestamp_ms").rangeBetween(-window_ms, 0)
-    peers = W.partitionBy("session_id", "timestamp_ms")
-    df = calls.withColumn("_args", _canonical(F.col("arguments")))
-    recent = F.count(F.lit(1)).over(span) - (F.count(F.lit(1)).over(peers) - F.row_number().over(peers.orderBy("seq")))
+    df = _bursts(calls, burst, window_ms).withColumn("_args", _canonical(F.col("arguments")))
     tools = [F.lag("tool_name", k).over(before) for k in (1, 2, 3)]
     args = [F.lag("_args", k).over(before) for k in (1, 2, 3)]
     stuck = F.row_number().over(before) > 3
@@ -57,7 +72,7 @@ def audit_calls(calls: DataFrame, dirs: tuple[str, ...] = (), domains: tuple[str
     hosts = F.flatten(F.transform(values, lambda v: F.regexp_extract_all(v, F.lit(R.NET_DOMAIN), F.lit(1))))
     fires = {
         "AGT-001": _named(F.col("tool_name"), R.FS_TOOLS) & F.exists(values, lambda v: R.FS_PATH.found(v) & outside(v, dirs)),
-        "AGT-002": recent > burst,
+        "AGT-002": F.col("_burst"),
         "AGT-003": F.coalesce(stuck & (same >= 2), F.lit(False)),
         "AGT-004": (_named(F.col("tool_name"), R.NET_TOOLS) & (F.size(F.array_except(hosts, F.array(*map(F.lit, domains)))) > 0)) if domains else F.lit(False),
         "AGT-005": _named(F.col("tool_name"), R.EXEC_TOOLS) & F.exists(values, lambda v: v != ""),
@@ -68,7 +83,7 @@ def audit_calls(calls: DataFrame, dirs: tuple[str, ...] = (), domains: tuple[str
     found = present(finding(F.col(f"`_{k}`"), check_id=k, severity=s, weight=w) for k, (s, w) in R.AGENT.items())
     score = points((F.col(f"`_{k}`"), w) for k, (_, w) in R.AGENT.items())
     df = df.withColumns({"findings": found, "risk_score": score, "action": F.when(score >= 70, "BLOCK").when(score >= 30, "WARN").otherwise("ALLOW")})
-    return df.drop("_args", *(f"_{k}" for k in fires))
+    return df.drop("_args", "_burst", *(f"_{k}" for k in fires))
 
 
 def _matches(arg_patterns: str, args: str = "arguments") -> str:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievework.functions.regex import Rx
-from sievework.operators.common import present
+from sievework.operators.common import folded, present
 from sievework.sources.policy import Policy, action
 
 GENESIS = "0" * 64
@@ -73,30 +75,63 @@ def with_request_id(df: DataFrame, header: str = "request_id") -> DataFrame:
     return df.withColumn("request_id_out", F.coalesce(F.nullif(F.col(header), F.lit("")), F.concat(F.lit("req_"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 16))))
 
 
-def audit_events(df: DataFrame, kind: str, policy: Policy, score: str = "risk_score", flag_column: str = "risk_flags", decision: str = "decision", text: str = "text") -> DataFrame:
-    """(event) JSON of each row: fields as the policy's switches say, never the text itself, only its length."""
-    fields = [F.lit(kind).alias("event_type"), F.lit(policy.name).alias("policy_name"), F.lit(policy.version).alias("policy_version")]
+def audit_events(df: DataFrame, kind: str, policy: Policy, score: str = "risk_score", flag_column: str = "risk_flags", decision: str = "decision", text: str = "text", request_id: str | None = None, latency: str | None = None, user: str | None = None, session: str | None = None) -> DataFrame:
+    """(event) JSON of each row: fields as the policy's switches say, never the text itself, only its length.
+
+    kind is input or output; the columns named for request, latency (milliseconds), user and session are added, the last
+    three only where they are not empty or 0."""
+    filled = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    fields = [F.lit("input_validation" if kind == "input" else "output_filter").alias("event_type"), F.lit(policy.name).alias("policy_name"), F.lit(policy.version).alias("policy_version")]
+    if request_id:
+        fields.append(F.col(request_id).alias("request_id"))
     if policy.log_decisions:
         fields.append(F.col(decision).alias("decision"))
     if policy.log_risk_scores:
         fields += [F.round(score, 4).alias("risk_score"), F.col(flag_column).alias("risk_flags")]
     if policy.log_inputs if kind == "input" else policy.log_outputs:
-        fields.append(F.length(text).alias("length"))
+        fields.append(F.length(text).alias(f"{kind}_length"))
+    if latency:
+        fields.append(F.nullif(F.round(F.col(latency).cast("double"), 2), F.lit(0.0)).alias("latency_ms"))
+    fields += [filled(c).alias(name) for c, name in ((user, "user_id"), (session, "session_id")) if c]
     return df.select(F.to_json(F.struct(*fields)).alias("event")) if policy.audit_enabled else df.select(F.lit("").alias("event")).limit(0)
 
 
+def canonical_json(text: Column) -> Column:
+    """A JSON text with the keys of all objects sorted, without spaces, other than ASCII characters as they are; null if it is no JSON."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def emit_events(df: DataFrame, event_type: str, request_id: str = "request_id", payload: tuple[str, ...] = (), at: Column | None = None) -> DataFrame:
+    """df with event: JSON with sorted keys of timestamp (UTC, now by default), event_type, request_id and the payload's columns.
+
+    A payload column with one of the three names replaces it. A null request id is kept as null."""
+    fields = {"timestamp": F.date_format(F.to_utc_timestamp(at if at is not None else F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"), "event_type": F.lit(event_type), "request_id": F.col(request_id)}
+    fields |= {c: F.col(c) for c in payload}
+    return df.withColumn("event", F.to_json(F.struct(*(c.alias(name) for name, c in sorted(fields.items()))), {"ignoreNullFields": "false"}))
+
+
+def session_genesis(process_id: str, session_id: str) -> str:
+    """The hash that a session's chain begins with."""
+    return hashlib.sha256(f"audit-genesis:{process_id}:{session_id}".encode()).hexdigest()
+
+
 def link_hash(canonical: Column, prev: Column, separator: str | None = None) -> Column:
     """sha256 of the event and the hash before it; with a separator, of the hash, the separator and the event."""
     return F.sha2(F.concat(canonical, prev) if separator is None else F.concat(prev, F.lit(separator), canonical), 256)
 
 
 def chain(events: DataFrame, log: str = "log_id", order: str = "line_no", canonical: str = "canonical", separator: str | None = None, genesis: str = GENESIS) -> DataFrame:
-    """(log, line_no, canonical, prev_hash, event_hash): each log's events chained in order, by a fold over its sorted array."""
-    lists = events.groupBy(log).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("line_no"), F.col(canonical).alias("canonical")))).alias("_e"))
-    new = "concat(x.canonical, s.last)" if separator is None else f"concat(s.last, '{separator}', x.canonical)"
-    item = "struct<line_no:bigint,canonical:string,prev_hash:string,event_hash:string>"
-    fold = f"aggregate(_e, struct('{genesis}' as last, cast(array() as array<{item}>) as out), (s, x) -> struct(sha2({new}, 256) as last, array_append(s.out, cast(struct(x.line_no, x.canonical, s.last, sha2({new}, 256)) as {item})) as out), s -> s.out)"
-    return lists.select(log, F.inline(F.expr(fold)))
+    """(log, line_no, canonical, prev_hash, event_hash): each log's events chained in order, by a fold over the log.
+
+    After a null event all hashes of its log are null."""
+
+    def step(state: list, text: str | None) -> tuple[str | None, str | None]:
+        (prev,) = state
+        state[0] = None if prev is None or text is None else hashlib.sha256((text + prev if separator is None else prev + separator + text).encode()).hexdigest()
+        return prev, state[0]
+
+    df = events.select(log, F.col(order).cast("long").alias("line_no"), F.col(canonical).alias("canonical"))
+    return folded(df, log, "line_no", F.col("canonical"), "prev_hash string, event_hash string", lambda: [genesis], step)
 
 
 def verify_chain(lines: DataFrame, log: str = "log_id", separator: str | None = None, genesis: str = GENESIS) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from sievework.functions import rules as R
-from sievework.functions.regex import first_found
+from sievework.functions.regex import any_found, first_found
 from sievework.operators.common import finding, flags, points, present, text_of, weighted
 from sievework.sources.rulesets import RegexRule
 
@@ -59,9 +59,9 @@ def detect_exfiltration(df: DataFrame, text: str = "text", block_threshold: int
 
     No enabled checks named, or an empty tuple, means all of them."""
     checks = [c for c in R.EXFILTRATION if not enabled or c[0] in enabled]
-    df = df.withColumns({f"_m{i}": first_found(text_of(text), c[5]) for i, c in enumerate(checks)})
-    hit = [F.col(f"_m{i}").isNotNull() for i in range(len(checks))]
-    matches = present(finding(h, check_id=c[0], risk=c[1], action=c[2], title=c[4], matched=F.col(f"_m{i}")) for i, (h, c) in enumerate(zip(hit, checks, strict=True)))
+    df = df.withColumns({f"_m{i}": any_found(text_of(text), c[5]) for i, c in enumerate(checks)})
+    hit = [F.col(f"_m{i}") for i in range(len(checks))]
+    matches = present(finding(h, check_id=c[0], risk=c[1], action=c[2], title=c[4], matched=first_found(text_of(text), c[5])) for h, c in zip(hit, checks, strict=True))
     blocked = F.lit(False)
     for h, c in zip(hit, checks, strict=True):
         blocked = blocked | (h if c[2] == "BLOCK" else F.lit(False))
@@ -76,7 +76,7 @@ def detect_exfiltration(df: DataFrame, text: str = "text", block_threshold: int
 
 def char_similarity(a: Column, b: Column) -> Column:
     """The share of a's characters that occur in b; 0 if either is empty."""
-    held = F.size(F.filter(F.split(a, ""), lambda c: (c != "") & (F.instr(b, c) > 0)))
+    held = F.length(a) - F.length(F.call_function("translate", a, b, F.lit("")))  # without the characters of b the others are left
     return F.when((F.length(a) > 0) & (F.length(b) > 0), held / F.length(a)).otherwise(F.lit(0.0))
 
 

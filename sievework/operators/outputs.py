@@ -58,7 +58,10 @@ class StageColumns:
 
 
 class Stage(Protocol):
-    """Any object with a name and this method can stand in a pipeline."""
+    """Any object with a name and this method can stand in a pipeline.
+
+    A stage may also have steps(df, text, on, prefix), which first adds columns of its own (their names begin with prefix) to
+    df, so that its patterns run once, and only where on holds."""
 
     name: str
 
@@ -69,17 +72,42 @@ def _when_any(flag_array: Column, decision: str) -> Column:
     return F.when(F.size(flag_array) > 0, decision).otherwise("PASS")
 
 
+def _tested(df: DataFrame, tests: list[Column], on: Column, prefix: str) -> tuple[DataFrame, list[Column]]:
+    """df with a column for each test, worked out once and only where on holds."""
+    names = [f"{prefix}{j}" for j in range(len(tests))]
+    return df.withColumns({n: on & t for n, t in zip(names, tests, strict=True)}), [F.col(n) for n in names]
+
+
+class _Tests:
+    """A stage whose columns follow from some tests of the text."""
+
+    def tests(self, text: Column) -> list[Column]:
+        raise NotImplementedError
+
+    def made(self, hit: list[Column], text: Column) -> StageColumns:
+        raise NotImplementedError
+
+    def columns(self, text: Column) -> StageColumns:
+        return self.made(self.tests(text), text)
+
+    def steps(self, df: DataFrame, text: Column, on: Column, prefix: str) -> tuple[DataFrame, StageColumns]:
+        df, hit = _tested(df, self.tests(text), on, prefix)
+        return df, self.made(hit, text)
+
+
 @dataclass(frozen=True)
-class SecretLeak:
+class SecretLeak(_Tests):
     """Any secret blocks; the weight is the largest one."""
 
     name: str = "secret_leak"
 
-    def columns(self, text: Column) -> StageColumns:
-        hit = [(rx.found(text), name, w) for name, w, rx in R.STAGE_SECRETS]
-        found = present(F.when(c, name) for c, name, _ in hit)
+    def tests(self, text: Column) -> list[Column]:
+        return [rx.found(text) for _, _, rx in R.STAGE_SECRETS]
+
+    def made(self, hit: list[Column], text: Column) -> StageColumns:
+        found = present(F.when(c, name) for c, (name, _, _) in zip(hit, R.STAGE_SECRETS, strict=True))
         decision = F.when(F.size(found) > 0, "BLOCK").otherwise("PASS")
-        weight = F.greatest(F.lit(0.0), *(F.when(c, F.lit(w)).otherwise(F.lit(0.0)) for c, _, w in hit))
+        weight = F.greatest(F.lit(0.0), *(F.when(c, F.lit(w)).otherwise(F.lit(0.0)) for c, (_, w, _) in zip(hit, R.STAGE_SECRETS, strict=True)))
         return StageColumns(decision, F.when(F.size(found) > 0, F.lit(R.SAFE_ERROR)).otherwise(text), found, weight)
 
 
@@ -91,45 +119,63 @@ class PiiRedaction:
 
     def columns(self, text: Column) -> StageColumns:
         now, hit = text, []
-        for name, w, rx, by in R.STAGE_PII:
-            hit.append((rx.found(now), name, w))
+        for _, _, rx, by in R.STAGE_PII:
+            hit.append(rx.found(now))
             now = rx.replace(now, by)
-        found = present(F.when(c, name) for c, name, _ in hit)
-        return StageColumns(_when_any(found, "PASS_REDACTED"), now, found, F.least(F.lit(1.0), weighted((c, w) for c, _, w in hit)))
+        return self.made(hit, now)
+
+    def made(self, hit: list[Column], now: Column) -> StageColumns:
+        found = present(F.when(c, name) for c, (name, *_) in zip(hit, R.STAGE_PII, strict=True))
+        return StageColumns(_when_any(found, "PASS_REDACTED"), now, found, F.least(F.lit(1.0), weighted((c, w) for c, (_, w, _, _) in zip(hit, R.STAGE_PII, strict=True))))
+
+    def steps(self, df: DataFrame, text: Column, on: Column, prefix: str) -> tuple[DataFrame, StageColumns]:
+        now, hit = text, []
+        for j, (_, _, rx, by) in enumerate(R.STAGE_PII):
+            df, own = _tested(df, [rx.found(now)], on, f"{prefix}h{j}_")
+            df = df.withColumn(f"{prefix}t{j}", F.when(own[0], rx.replace(now, by)).otherwise(now))
+            now, hit = F.col(f"{prefix}t{j}"), hit + own
+        return df, self.made(hit, now)
 
 
 @dataclass(frozen=True)
-class SystemPromptLeak:
+class SystemPromptLeak(_Tests):
     name: str = "system_prompt_leak"
 
-    def columns(self, text: Column) -> StageColumns:
-        found = present(F.when(rx.found(text), name) for name, rx in R.STAGE_PROMPT)
+    def tests(self, text: Column) -> list[Column]:
+        return [rx.found(text) for _, rx in R.STAGE_PROMPT]
+
+    def made(self, hit: list[Column], text: Column) -> StageColumns:
+        found = present(F.when(c, name) for c, (name, _) in zip(hit, R.STAGE_PROMPT, strict=True))
         return StageColumns(_when_any(found, "FLAGGED"), text, found, F.when(F.size(found) > 0, F.lit(0.4)).otherwise(F.lit(0.0)))
 
 
 @dataclass(frozen=True)
-class InternalNetwork:
+class InternalNetwork(_Tests):
     name: str = "internal_network"
 
-    def columns(self, text: Column) -> StageColumns:
-        found = present([F.when(R.STAGE_NETWORK.found(text), "private_ip_address")])
-        return StageColumns(_when_any(found, "PASS_REDACTED"), R.STAGE_NETWORK.replace(text, "[REDACTED:PRIVATE_IP]"), found, F.when(F.size(found) > 0, F.lit(0.25)).otherwise(F.lit(0.0)))
+    def tests(self, text: Column) -> list[Column]:
+        return [R.STAGE_NETWORK.found(text)]
+
+    def made(self, hit: list[Column], text: Column) -> StageColumns:
+        found = present([F.when(hit[0], "private_ip_address")])
+        return StageColumns(_when_any(found, "PASS_REDACTED"), F.when(hit[0], R.STAGE_NETWORK.replace(text, "[REDACTED:PRIVATE_IP]")).otherwise(text), found, F.when(hit[0], F.lit(0.25)).otherwise(F.lit(0.0)))
 
 
 @dataclass(frozen=True)
-class PolicyViolation:
+class PolicyViolation(_Tests):
     """Block patterns come before flag patterns (pattern, flag); all ignore case."""
 
     block: tuple[str, ...] = ()
     flag: tuple[tuple[str, str], ...] = ()
     name: str = "policy_violation"
 
-    def columns(self, text: Column) -> StageColumns:
-        blocked = any_found(text, tuple(Rx(p, "i") for p in self.block))
-        hit = [(Rx(p, "i").found(text), name) for p, name in self.flag]
-        noted = present(F.when(c, name) for c, name in hit)
+    def tests(self, text: Column) -> list[Column]:
+        return [any_found(text, tuple(Rx(p, "i") for p in self.block)), *(Rx(p, "i").found(text) for p, _ in self.flag)]
+
+    def made(self, hit: list[Column], text: Column) -> StageColumns:
+        blocked, noted = hit[0], present(F.when(c, name) for c, (_, name) in zip(hit[1:], self.flag, strict=True))
         found = F.when(blocked, F.array(F.lit("policy_block"))).otherwise(noted)
-        weight = F.when(blocked, F.lit(1.0)).otherwise(F.least(F.lit(1.0), weighted((c, 0.3) for c, _ in hit)))
+        weight = F.when(blocked, F.lit(1.0)).otherwise(F.least(F.lit(1.0), weighted((c, 0.3) for c in hit[1:])))
         return StageColumns(F.when(blocked, "BLOCK").otherwise(_when_any(noted, "FLAGGED")), F.when(blocked, F.lit(R.SAFE_ERROR)).otherwise(text), found, weight)
 
 
@@ -159,9 +205,10 @@ class Pipeline:
         rank = F.create_map(*(x for i, d in enumerate(DECISIONS) for x in (F.lit(d), F.lit(i))))
         df = df.withColumns({"_text": text_of(text), "_worst": F.lit(0), "_risk": F.lit(0.0), "_by": F.lit(None).cast("string"), "_flags": F.array().cast("array<struct<stage:string,flag:string>>"), "_run": F.array().cast("array<struct<stage:string,decision:string,weight:double>>")})
         for i, stage in enumerate(self.stages):
-            made = stage.columns(F.col("_text"))
+            on, before = F.col("_by").isNull(), df.columns
+            steps = getattr(stage, "steps", None)
+            df, made = steps(df, F.col("_text"), on, f"_s{i}_") if steps else (df, stage.columns(F.col("_text")))
             df = df.withColumns({f"_d{i}": made.decision, f"_t{i}": made.text, f"_f{i}": made.flags, f"_w{i}": made.weight})
-            on = F.col("_by").isNull()
             df = df.withColumns(
                 {
                     "_text": F.when(on, F.col(f"_t{i}")).otherwise(F.col("_text")),
@@ -171,9 +218,12 @@ class Pipeline:
                     "_run": F.when(on, F.concat("_run", F.array(F.struct(F.lit(stage.name).alias("stage"), F.col(f"_d{i}").alias("decision"), F.col(f"_w{i}").alias("weight"))))).otherwise(F.col("_run")),
                     "_by": F.when(on & (F.col(f"_d{i}") == "BLOCK"), F.lit(stage.name)).otherwise(F.col("_by")),
                 }
-            ).drop(f"_d{i}", f"_t{i}", f"_f{i}", f"_w{i}")
+            ).select(*before)
         names = F.array(*map(F.lit, DECISIONS))
-        df = df.withColumns({"decision": F.element_at(names, F.col("_worst") + 1), "final_output": F.col("_text"), "risk_score": F.round(F.least(F.col("_risk"), F.lit(1.0)), 4), "stage_flags": F.col("_flags"), "stages_run": F.col("_run"), "blocked_by": F.col("_by")})
+        # the optimizer moves no filter below a column that is not deterministic, where it would work out all stages anew for it
+        sealed = lambda c: F.when(F.monotonically_increasing_id() >= 0, c)
+        made = {"decision": F.element_at(names, F.col("_worst") + 1), "final_output": F.col("_text"), "risk_score": F.round(F.least(F.col("_risk"), F.lit(1.0)), 4), "stage_flags": F.col("_flags"), "stages_run": F.col("_run"), "blocked_by": F.col("_by")}
+        df = df.withColumns({name: sealed(c) for name, c in made.items()})
         df = df.withColumns({"was_blocked": F.col("decision") == "BLOCK", "was_redacted": F.col("decision") == "PASS_REDACTED", "all_flags": F.transform("stage_flags", lambda x: x["flag"])})
         return df.drop("_text", "_worst", "_risk", "_by", "_flags", "_run")
 
@@ -204,11 +254,20 @@ def filter_secrets(df: DataFrame, text: str = "text", action: str = "redact") ->
     return df.withColumns({"content": content, "action": F.when(some, action).otherwise("allow"), "reasons": F.when(some, F.array(F.lit("secret_detected"))).otherwise(F.array().cast("array<string>"))}).drop("_sure", "_long")
 
 
+def _bound(value: Column, f) -> Column:
+    """f of value, which is worked out once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def repeated_window(t: Column, window: int = 200, step: int = 50) -> Column:
-    """Two equal windows among those that start at multiples of step."""
-    at = F.sequence(F.lit(0), F.length(t) - window, F.lit(step))
-    parts = F.transform(at, lambda x: F.substring(t, x + 1, F.lit(window)))
-    return F.coalesce(F.when(F.length(t) >= window, F.size(parts) > F.size(F.array_distinct(parts))), F.lit(False))
+    """Two equal windows among those that start at multiples of step, which must divide window.
+
+    The text is cut into blocks of a step once, and windows are runs of blocks, so the work is linear in its length."""
+    k = window // step
+    blocks = F.regexp_extract_all(t, F.lit(f"(?s).{{{step}}}"), F.lit(0))
+    runs = lambda b: F.transform(F.sequence(F.lit(1), F.size(b) - k + 1), lambda i: F.concat(*(F.element_at(b, i + j) for j in range(k))))
+    again = _bound(blocks, lambda b: F.when(F.size(b) > k, _bound(runs(b), lambda r: F.size(r) > F.size(F.array_distinct(r)))))
+    return F.coalesce(F.when(F.length(t) >= window, again), F.lit(False))
 
 
 def text_wall(t: Column, least: int = 500, share: float = 0.95) -> Column:

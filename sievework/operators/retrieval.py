@@ -6,23 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import rules as R
-
 from sievework.operators.common import points, present, strip, text_of
 from sievework.operators.inputs import detect_injection
 
+
 def _distinct_matches(t: Column, patterns) -> Column:
     """All matches of all patterns, the first of those equal but for case and outer white space."""
     found = F.flatten(F.array(*(p.all(t) for p in patterns)))
     keys = F.transform(found, lambda x: F.lower(strip(x)))
     return F.filter(found, lambda x, i: F.array_position(keys, F.lower(strip(x))) == i + 1)
 
+
+def _lenient(run: Column) -> Column:
+    """The text of a base64 run; its own padding may be wrong, bad UTF-8 is dropped. Null for one character above whole quads."""
+    bare = F.regexp_replace(run, "=+$", "")
+    padded = F.concat(bare, F.repeat(F.lit("="), F.pmod(-F.length(bare), F.lit(4))))
+    text = F.translate(F.make_valid_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string")), "\ufffd", "")
+    return F.when(F.length(bare) % 4 != 1, text)
+
+
 def payloads(t: Column) -> Column:
     """Decoded base64 runs, in lower case, that hold a keyword; one for each first 80 characters."""
-    runs = R.RAG_BASE64.all(t)
-    decoded = F.transform(runs, lambda x: F.lower(F.translate(F.make_valid_utf8(F.try_to_binary(F.concat(x, F.repeat(F.lit("="), F.pmod(-F.length(x), F.lit(4)))), F.lit("base64")).cast("string")), "�", "")))
+    decoded = F.transform(R.RAG_BASE64.all(t), lambda x: F.lower(_lenient(x)))
     held = F.filter(decoded, lambda x: F.coalesce(x.rlike("|".join(R.RAG_KEYWORDS)), F.lit(False)))
     return F.array_distinct(F.transform(held, lambda x: F.substring(x, 1, 80)))
 
+
 def _match_of(check: str, severity: str):
     return lambda x: F.struct(F.lit(check).alias("check_id"), F.lit(severity).alias("severity"), x.alias("matched"))
 

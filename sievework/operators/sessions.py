@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import rules as R
 from sievework.functions.regex import first_found
-from sievework.operators.common import finding, points, present, strip, text_of
+from sievework.operators.common import finding, folded, points, present, strip, text_of
 
 EVERY_ROLE = "CONTEXT_INJECTION"
 
@@ -132,23 +132,22 @@ def estimate_tokens(text: Column) -> Column:
 def token_budget(turns: DataFrame, max_turn: int = 4096, max_session: int = 32_768, factor: float = 5.0, least_turns: int = 3, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """(conv, turn, turn_tokens, session_before, session_after, decision, violations) of every turn, by a fold over each session.
 
-    Denied turns are not added to the session, so later decisions depend on earlier ones; a session is one sorted array."""
-    df = turns.select(conv, turn, estimate_tokens(text_of(text)).alias("n"))
-    lists = df.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), "n"))).alias("_turns"))
-    item = "struct<turn:bigint,n:bigint,before:bigint,after:bigint,decision:string,violations:array<string>>"
-    fold = f"""aggregate(_turns, struct(0L as total, 0L as count, cast(array() as array<{item}>) as out), (s, x) -> struct(
-        s.total + if(x.n > {max_turn} or s.total + x.n > {max_session}, 0L, x.n) as total,
-        s.count + if(x.n > {max_turn} or s.total + x.n > {max_session}, 0L, 1L) as count,
-        array_append(s.out, cast(struct(x.turn, x.n, s.total,
-          s.total + if(x.n > {max_turn} or s.total + x.n > {max_session}, 0L, x.n),
-          case when x.n > {max_turn} or s.total + x.n > {max_session} then 'DENY'
-               when s.count >= {least_turns} and s.total > 0 and x.n / (s.total / s.count) >= {factor}D then 'WARN' else 'ALLOW' end,
-          array_compact(array(case when x.n > {max_turn} then 'TURN_LIMIT_EXCEEDED' end,
-            case when s.total + x.n > {max_session} then 'SESSION_LIMIT_EXCEEDED' end,
-            case when x.n <= {max_turn} and s.total + x.n <= {max_session} and s.count >= {least_turns} and s.total > 0 and x.n / (s.total / s.count) >= {factor}D then 'STUFFING_ANOMALY' end))
-        ) as {item})) as out), s -> s.out)"""
-    out = lists.select(conv, F.inline(F.expr(fold)))
-    return out.select(conv, F.col("turn").alias(turn), F.col("n").alias("turn_tokens"), F.col("before").alias("session_before"), F.col("after").alias("session_after"), "decision", "violations")
+    Denied turns are not added to the session, so later decisions depend on earlier ones."""
+
+    def step(state: list, n: int) -> tuple[int, int]:
+        total, count = state
+        if n <= max_turn and total + n <= max_session:
+            state[:] = total + n, count + 1
+        return total, count
+
+    df = turns.select(conv, turn, estimate_tokens(text_of(text)).cast("long").alias("turn_tokens"))
+    df = folded(df, conv, turn, F.col("turn_tokens"), "session_before long, _count long", lambda: [0, 0], step)
+    n, before = F.col("turn_tokens"), F.col("session_before")
+    long, full = n > max_turn, before + n > max_session
+    odd = F.coalesce((F.col("_count") >= least_turns) & (before > 0) & (n / F.nullif(before / F.nullif(F.col("_count"), F.lit(0)), F.lit(0.0)) >= factor), F.lit(False))
+    violations = present([F.when(long, "TURN_LIMIT_EXCEEDED"), F.when(full, "SESSION_LIMIT_EXCEEDED"), F.when(~long & ~full & odd, "STUFFING_ANOMALY")])
+    decision = F.when(long | full, "DENY").when(odd, "WARN").otherwise("ALLOW")
+    return df.select(conv, turn, "turn_tokens", "session_before", (before + F.when(long | full, 0).otherwise(n)).alias("session_after"), decision.alias("decision"), violations.alias("violations"))
 
 
 def context_stuffing(df: DataFrame, text: str = "text", max_tokens: int = 4096, block: int = 50, repeats: int = 3) -> DataFrame:
@@ -163,3 +162,9 @@ def context_stuffing(df: DataFrame, text: str = "text", max_tokens: int = 4096,
     signals = present([F.when(F.col("estimated_tokens") > max_tokens, "too_long"), F.when(F.col("_n") >= repeats, "repeated_block"), F.when(F.col("_run"), "character_run"), F.when((F.length(t) > 0) & (F.col("_blank") / F.length(t) > 0.80), "white_space")])
     df = df.withColumn("signals", signals).withColumn("is_stuffing", F.size("signals") > 0)
     return df.withColumn("decision", F.when(F.col("estimated_tokens") > max_tokens, "DENY").when(F.col("is_stuffing"), "WARN").otherwise("ALLOW")).drop("_n", "_run", "_blank")
+
+
+def session_budgets(judged: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """(conv, tokens, turns): what each session has used after its last turn, from the rows of `token_budget`; its count is the number of sessions."""
+    last = F.max_by("session_after", turn).alias("tokens")
+    return judged.groupBy(conv).agg(last, F.count(F.when(F.col("decision") != "DENY", 1)).alias("turns"))

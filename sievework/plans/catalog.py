@@ -34,8 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores if it has fewer, as a file of one row group has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", seeded("doc_id", "text", PROMPTS).alias("t"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", seeded("doc_id", "text", PROMPTS).alias("t"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -595,6 +601,16 @@ def agt_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("session_id", "seq", F.array_join(F.transform("findings", lambda f: f["check_id"]), ",").alias("checks"), "risk_score", "action")
 
 
+FALLING = f"{CALLS}, l as (select *, row_number() over w as i from c window w as (partition by session_id order by seq))"
+
+
+@query("agt_bursts", f"{FALLING} select a.session_id, a.seq, count(*) > 10 as burst from l a join l h on h.session_id = a.session_id and h.i <= a.i and h.ms >= a.ms - 60000 group by 1, 2")
+def agt_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts by a clock that falls within sessions."""
+    df = agents.audit_calls(calls(spark, sf_dir))
+    return df.select("session_id", "seq", F.exists("findings", lambda f: f["check_id"] == "AGT-002").alias("burst"))
+
+
 @query("agt_actions_by_session", f"{AGT_SQL} select session_id, count(*) filter ({AGT_ACTION} = 'BLOCK') as blocked, count(*) filter ({AGT_ACTION} = 'WARN') as warned, count(*) as n from s group by 1")
 def agt_actions_by_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = agents.audit_calls(_ordered_calls(spark, sf_dir), domains=("ok.example",))

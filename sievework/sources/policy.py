@@ -6,6 +6,8 @@ import hashlib
 import json
 import os
 import stat
+import sys
+from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
@@ -101,11 +103,14 @@ def parse_policy(raw: Any) -> Policy:
     return Policy(raw["name"], str(raw["version"]), raw.get("description", ""), allowed_tools=tuple(tools), **own)
 
 
-def load_policy(path: str | Path) -> Policy:
+def load_policy(path: str | Path, strict: bool = True, allow_insecure: bool | None = None, check_folder: bool = True) -> Policy:
+    """The policy in a YAML file. With strict, one that others could change is refused before it is read (see `refuse_unsafe`)."""
     import yaml
 
     if not Path(path).exists():
         raise FileNotFoundError(f"Policy file not found: {path}")
+    if strict:
+        refuse_unsafe(path, allow_insecure, check_folder)
     return parse_policy(yaml.safe_load(Path(path).read_text(encoding="utf-8")))
 
 
@@ -115,13 +120,39 @@ def policy_from_env(variable: str = "POLICY_FILE") -> Policy:
     return load_policy(os.environ[variable])
 
 
+#: Fixed value: the exit code of a configuration that is not safe.
+UNSAFE_EXIT = 78
+#: Set to one of these, the variable lets unsafe files pass.
+OVERRIDE_VARIABLE = "ALLOW_INSECURE_POLICY_PERMISSIONS"
+OVERRIDE_VALUES = ("1", "true", "yes", "on")
+_WRITERS = (("world_writable", stat.S_IWOTH, "others"), ("group_writable", stat.S_IWGRP, "group"))
+
+
+def _unsafe(path: str | Path, check_folder: bool = True) -> list[tuple[str, Path, int, str, str]]:
+    """(target, path, mode, reason, who) for the file and its folder, links followed, where others can write."""
+    targets = [("policy_file", Path(path))] + [("parent_directory", p) for p in dict.fromkeys((Path(path).parent, Path(path).resolve().parent)) if check_folder]
+    return [(target, p, stat.S_IMODE(p.stat().st_mode), reason, who) for target, p in targets for reason, bit, who in _WRITERS if p.stat().st_mode & bit]
+
+
 def unsafe_permissions(path: str | Path) -> list[str]:
     """Why others could change the file or its folder; empty if they can't."""
-    out = []
-    for p in (Path(path), Path(path).resolve().parent):
-        mode = p.stat().st_mode
-        out += [f"{p} is writable by {who}" for who, bit in (("group", stat.S_IWGRP), ("others", stat.S_IWOTH)) if mode & bit]
-    return out
+    return [f"{p} is writable by {who}" for _, p, _, _, who in _unsafe(path)]
+
+
+def refuse_unsafe(path: str | Path, allow_insecure: bool | None = None, check_folder: bool = True, emit: Callable[[dict[str, Any]], None] | None = None) -> None:
+    """Ends the process with UNSAFE_EXIT if others could change the file or its folder, after an event for each problem.
+
+    allow_insecure lets it pass, events and all; None asks the environment. Events go to emit, or as JSON lines to stderr."""
+    allowed = os.environ.get(OVERRIDE_VARIABLE, "").strip().lower() in OVERRIDE_VALUES if allow_insecure is None else allow_insecure
+    found = _unsafe(path, check_folder)
+    for target, p, mode, reason, _ in found:
+        event = {"event_type": "startup.policy_permission_check", "status": "allowed_with_override" if allowed else "rejected", "path": str(p), "mode": oct(mode), "reason": reason, "target": target, "allow_insecure_policy_permissions": allowed}
+        if emit:
+            emit(event)
+        else:
+            print(json.dumps(event, separators=(",", ":")), file=sys.stderr)
+    if found and not allowed:
+        raise SystemExit(UNSAFE_EXIT)
 
 
 def startup_event(path: str | Path) -> dict[str, Any]:
