@@ -3,7 +3,7 @@
 Equal vectors form a class. Classes of a label are dealt to overlapping shards, those of their nearest centroids. In each
 shard a flat graph is built by robust pruning; a class's lists of all its shards are united. Range searches then start at a
 shard's medoid, go greedily towards the query and, once in range, expand to all neighbours in range. Every hit is verified
-in double precision. Each shard audits its recall on some queries and searches wider until it is high enough. A pair is
+in double precision. Each shard audits its recall on some queries and searches wider, exactly at last, until it is high enough. A pair is
 counted in the first shard that both share, and a shard returns counts and a spanning forest, so no group's pairs are rows."""
 
 from __future__ import annotations
@@ -195,14 +195,18 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, shard: int = SHARD,
             graph.append(np.unique(at[known[at] == np.array(near[i], np.int64)]).astype(np.int64))
         nv = np.ascontiguousarray(v[node])
         start = int((nv @ nv.mean(0)).argmax())
-        beam = BEAM
         audit = query[:: max(1, len(query) // AUDIT_QUERIES)][:AUDIT_QUERIES]
-        truth = [int((nv @ v[i] >= least).sum()) for i in audit.tolist()]
+        truth = [np.setdiff1d(known[nv @ v[i] >= least], cids[i]) for i in audit.tolist()]
+        asked = [(i, t) for i, t in zip(audit.tolist(), truth, strict=True) if len(t)]
+        beam = BEAM
         while beam < len(node):
-            got = [len(search(nv, graph, start, v[i], least, beam)) for i in audit.tolist()]
-            if sum(got) >= AUDIT_RECALL * sum(truth):
+            # each query counts alike, so a large group does not hide what small ones miss
+            got = [np.isin(t, known[search(nv, graph, start, v[i], least, beam)]).mean() for i, t in asked]
+            if sum(got) >= AUDIT_RECALL * len(asked):
                 break
             beam *= 2
+        # a shard that no beam serves is searched exactly
+        hits = (lambda q: search(nv, graph, start, q, least, beam)) if beam < len(node) else (lambda q: np.flatnonzero(nv @ q >= least))
         parent = {}
 
         def root(c: int) -> int:
@@ -213,7 +217,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, shard: int = SHARD,
 
         counts = np.zeros(len(cids), np.int64)
         for i in query.tolist():
-            for j in node[search(nv, graph, start, v[i], least, beam)].tolist():
+            for j in node[hits(v[i])].tolist():
                 if cids[i] == cids[j]:
                     continue
                 if own == min(shards[i] & shards[j]):

@@ -1,11 +1,12 @@
 """Rows and texts that the operators once left out or cut short."""
 
+import math
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from sievework.llm import bpe, licenses, ngram_join, ppm, queries, urlfilter
+from sievework.llm import bpe, common, licenses, ngram_join, ppm, queries, urlfilter, vecdedup
 
 
 def test_bpe_of_odd_white_space_alone(spark):
@@ -176,3 +177,30 @@ def test_quality_sql_on_odd_texts(spark, tmp_path):
     names = [c[0] for c in want.description]
     key = lambda r: r[0]
     assert sorted(map(tuple, got.select(*names).collect()), key=key) == sorted(want.fetchall(), key=key)
+
+
+def test_vectors_at_and_around_the_threshold(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(150):
+        x, y = np.linalg.qr(rng.normal(size=(24, 2)))[0].T
+        for j, cosine in enumerate((1.0, 0.98 + 1e-6, 0.98 - 1e-6, 0.99, 0.95)):
+            rows.append((10 * i + j, ((cosine * x + math.sqrt(1 - cosine * cosine) * y) * (1 + i)).tolist(), i % 3))
+    v = np.array([r[1] for r in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    linked = (v @ v.T >= 0.98) & (label[:, None] == label) & ~np.eye(len(rows), dtype=bool)
+    want = {r[0]: int(linked[k].sum()) for k, r in enumerate(rows)}
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, cid string")
+    for shard, block in ((1500, 4096), (60, 32)):
+        got = {r["vec_id"]: r["n_links"] for r in vecdedup.near_duplicates(df, shard=shard, block=block).collect()}
+        assert set(got) == set(want) and all(got[k] <= want[k] for k in want)
+        assert sum(got.values()) >= (1.0 if shard > 1000 else 0.9) * sum(want.values())
+
+
+def test_thresholds_keep_their_bound(spark):
+    for counts, bound in (([10_000 + i for i in range(100)], 10), ([5] * 50 + [6], 10), ([1 << 40] * 20 + [3], 20), ([], 5), ([7], 0)):
+        df = spark.createDataFrame([(n,) for n in counts], "n long")
+        least = common.threshold_for(df, "n", bound)
+        kept = [n for n in counts if n >= least]
+        assert len(kept) <= bound and (not counts or bound < len(counts) or len(kept) == len(counts))
